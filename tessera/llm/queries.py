@@ -7,6 +7,8 @@ import importlib
 #: query name -> (module, function)
 _QUERIES = {
     "op5_bpe": ("tokens", "op5_bpe"),
+    "op7_secrets": ("secrets", "op7_secrets"),
+    "op10_language": ("language", "op10_language"),
 }
 
 
