@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function)
 _QUERIES = {
+    "op1_quality": ("quality", "op1_quality"),
     "op5_bpe": ("tokens", "op5_bpe"),
     "op7_secrets": ("secrets", "op7_secrets"),
     "op10_language": ("language", "op10_language"),
