@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_quality": ("quality", "op1_quality"),
     "op5_bpe": ("tokens", "op5_bpe"),
     "op7_secrets": ("secrets", "op7_secrets"),
+    "op8_chat": ("chat", "op8_chat"),
     "op10_language": ("language", "op10_language"),
 }
 
