@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_bpe": ("tokens", "op5_bpe"),
     "op7_secrets": ("secrets", "op7_secrets"),
     "op8_chat": ("chat", "op8_chat"),
+    "op9_packing": ("packing", "op9_packing"),
     "op10_language": ("language", "op10_language"),
 }
 
