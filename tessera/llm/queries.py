@@ -7,6 +7,7 @@ import importlib
 #: query name -> (module, function)
 _QUERIES = {
     "op1_quality": ("quality", "op1_quality"),
+    "op4_jaccard": ("jaccard", "op4_jaccard"),
     "op5_bpe": ("tokens", "op5_bpe"),
     "op7_secrets": ("secrets", "op7_secrets"),
     "op8_chat": ("chat", "op8_chat"),
