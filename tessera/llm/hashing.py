@@ -48,3 +48,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def ranges(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Fingerprints of the byte ranges [begin, end), equal for equal bytes wherever they are."""
     return mixed((sums[end] - sums[begin]) * powers(len(sums))[1][begin])
+
+
+#: White space between words: blank and the controls from tab to carriage return.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(part: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of concatenated rows, and at which word each row begins (and the last ends)."""
+    word = ~SPACE[part]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    inner = bounds[:-1][bounds[:-1] < len(part)]
+    first[inner] |= word[inner]
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    inner = bounds[1:][bounds[1:] > 0] - 1
+    last[inner] |= word[inner]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return ranges(sums, begin, end), np.searchsorted(begin, bounds)
+
+
+def windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all n consecutive entries; row borders are the caller's."""
+    if len(hashes) < n:
+        return np.zeros(0, dtype=np.uint64)
+    acc = hashes[: len(hashes) - n + 1].copy()
+    for j in range(1, n):
+        acc = mixed(acc * np.uint64(0x100000001B3)) + hashes[j : len(hashes) - n + 1 + j]
+    return mixed(acc)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, row_slices, stored, table, text_bytes
-from tessera.llm.hashing import LOWER, mixed, prefix, ranges
+from tessera.llm.hashing import LOWER, mixed, prefix, windows, words
 
 WORDS = 5
 #: Similarity at least PARTS_OF / PARTS.
@@ -19,8 +19,6 @@ PARTS_OF, PARTS = 80, 100
 BLOCK = 2048
 #: Bits of a signature, sets in a leaf, children of a node.
 BITS, LEAF, FAN = 1024, 8, 8
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -28,34 +26,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, n
     for a, b in row_slices(offsets):
         part = data[offsets[a] : offsets[b]]
         bounds = offsets[a : b + 1] - offsets[a]
-        word = ~_SPACE[part]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        inner = bounds[:-1][bounds[:-1] < len(part)]
-        first[inner] |= word[inner]
-        last = word.copy()
-        last[:-1] &= ~word[1:]
-        inner = bounds[1:][bounds[1:] > 0] - 1
-        last[inner] |= word[inner]
-        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = prefix(part, LOWER)
-        words = ranges(sums, begin, end)
-        at = np.searchsorted(begin, bounds)
-        n = len(words)
-        rolled = np.zeros(max(n, 1), dtype=np.uint64)
-        if n >= WORDS:
-            acc = words[: n - WORDS + 1].copy()
-            for j in range(1, WORDS):
-                acc = mixed(acc * np.uint64(0x100000001B3)) + words[j : n - WORDS + 1 + j]
-            rolled[: n - WORDS + 1] = mixed(acc)
+        hashes, at = words(part, bounds, prefix(part, LOWER))
+        rolled = windows(hashes, WORDS)
         for i in range(b - a):
             lo, hi = int(at[i]), int(at[i + 1])
             if hi - lo >= WORDS:
                 yield a + i, np.unique(rolled[lo : hi - WORDS + 1])
             elif hi > lo:
-                acc = words[lo : lo + 1]
+                acc = hashes[lo : lo + 1]
                 for j in range(lo + 1, hi):
-                    acc = mixed(acc * np.uint64(0x100000001B3)) + words[j : j + 1]
+                    acc = mixed(acc * np.uint64(0x100000001B3)) + hashes[j : j + 1]
                 # the count of words keeps short sequences apart from shingles
                 yield a + i, mixed(acc + np.uint64(hi - lo))
             else:

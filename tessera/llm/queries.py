@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_repeats": ("repeats", "op3_repeats"),
     "op4_jaccard": ("jaccard", "op4_jaccard"),
     "op5_bpe": ("tokens", "op5_bpe"),
+    "op6_quality_classifier": ("classifier", "op6_quality_classifier"),
     "op7_secrets": ("secrets", "op7_secrets"),
     "op8_chat": ("chat", "op8_chat"),
     "op9_packing": ("packing", "op9_packing"),
