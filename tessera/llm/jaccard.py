@@ -187,7 +187,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, set_id, component_id, n_links) for every document.
+    """(key, n_shingles, set_id, component_id, n_links, component, text_hash) for every document.
 
     Sets of distinct WORDS-word shingles of ASCII-lower-cased words; a shorter text is one shingle; a
     null or empty text has none and stands alone. Documents of Jaccard similarity at least
@@ -198,9 +198,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     a set whose checked shingles are too rarely those of other sets can link with none and goes. What is
     left forms clusters over common shingles. In a cluster, sets meet in signature trees, in blocks of
     BLOCK sets if there are more, each pair of blocks a task; links that trees find make the components.
-    n_links counts those links, a spanning set; it is 0 for a set that links with no other.
+    n_links counts those links, a spanning set; it is 0 for a set that links with no other. component tells
+    components apart where keys repeat.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
+    rows = rows.select("k", "t", F.xxhash64("t").alias("th"))
     kind = dict(rows.dtypes)["k"]
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -213,11 +215,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             # a copy within the batch need not speak again
             sent.append(out.view(np.int64) if sid not in seen else np.zeros(0, dtype=np.int64))
             seen.add(sid)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(sent, pa.list_(pa.int64()))], names=["k", "n", "sid", "checked", "sent"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(sent, pa.list_(pa.int64())), batch.column(2)], names=["k", "n", "sid", "checked", "sent", "th"])
 
-    signed = map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, sent array<bigint>")
+    signed = map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, sent array<bigint>, th long")
     told = stored(signed)
-    sets = told.select("k", "n", "sid", "checked")
+    sets = told.select("k", "n", "sid", "checked", "th")
 
     # shingles that more than one set has, once for each set
     by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("sid")
@@ -226,19 +228,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     common = spoken.withColumns({"lo": F.min("sid").over(ordered), "prev": F.lag("sid").over(ordered), "hi": F.max("sid").over(by_hash)}).where("lo <> hi and (prev is null or prev <> sid)").select("h", "sid", "n", "on")
     common = stored(common)
     heard = common.groupBy("sid").agg(F.first("n").alias("n"), F.sum(F.col("on").cast("long")).alias("shared"))
-    known = sets.where("sid is not null").groupBy("sid").agg(F.first("checked").alias("checked"), F.min("k").alias("k"))
-    alive = heard.join(known, "sid").where("shared >= checked - floor(n / 5)").select("sid", "k", "n")
+    known = sets.where("sid is not null").groupBy("sid").agg(F.first("checked").alias("checked"), F.min("th").alias("th"))
+    alive = heard.join(known, "sid").where("shared >= checked - floor(n / 5)").select("sid", "th", "n")
     alive = stored(alive)
     near = common.select("h", "sid").join(alive.select("sid"), "sid")
     star = near.withColumn("u", F.min("sid").over(Window.partitionBy("h"))).where("u <> sid").select(F.col("u").alias("a"), F.col("sid").alias("b")).distinct()
     cluster = components(star)
     size = cluster.groupBy("root").agg(F.count("*").alias("members"))
-    member = cluster.join(size, "root").join(alive, F.col("node") == F.col("sid")).select("sid", "k", "n", F.col("root").alias("cluster"), "members")
+    member = cluster.join(size, "root").join(alive, F.col("node") == F.col("sid")).select("sid", "th", F.col("root").alias("cluster"), "members")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    member = stored(member.select("sid", "k", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
+    member = stored(member.select("sid", "th", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
 
     # the sets themselves, once for each pair of blocks that they take part in
-    body = rows.join(member.withColumnRenamed("k", "mk"), F.col("k") == F.col("mk")).select("sid", "cluster", "blocks", "block", "t")
+    body = rows.join(member.withColumnRenamed("th", "mh"), F.col("th") == F.col("mh")).select("sid", "cluster", "blocks", "block", "t")
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('p', least(x, block), 'q', greatest(x, block)))")
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         found = [s.view(np.int64) for _, s in shingle_sets(data, offsets)]
         want = batch.column(0).to_pylist()
         sid = [int(mixed((mixed(s.view(np.uint64)) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None for s in found]
-        # a key may stand on several rows; only the row with the very set counts
+        # hashes of texts may coincide; only the row with the very set counts
         ok = np.array([a == b for a, b in zip(sid, want, strict=True)], dtype=bool)
         out = pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "cluster", "blocks", "block", "shingles"])
         return out.filter(pa.array(ok))
@@ -275,9 +277,23 @@ def _labelled(sets: DataFrame, links: DataFrame, key: str) -> DataFrame:
     smallest = sets.where("sid is not null").groupBy("sid").agg(F.min("k").alias("m"))
     smallest = smallest.join(label, F.col("sid") == F.col("node"), "left").select("sid", "m", F.coalesce("root", "sid").alias("root"))
     top = smallest.groupBy("root").agg(F.min("m").alias("component_id"))
-    known = smallest.join(top, "root").join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = smallest.join(top, "root").join(degree, "sid", "left").select("sid", F.col("root").alias("component"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = sets.join(known, "sid", "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component", F.col("th").alias("text_hash"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest key, ties by text hash.
+
+    Texts without words link with nothing and all stay. All columns stay as they are.
+    """
+    found = near_duplicates(docs, key, text)
+    first = found.where("set_id is not null").groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("text_hash").alias("th"))).alias("m"))
+    chosen = first.select(F.col("m.k").alias("__k"), F.col("m.th").alias("__th"))
+    rows = docs.withColumn("__h", F.xxhash64(F.col(text).cast("binary")))
+    empty = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = rows.where(~empty).join(chosen, (F.col(key).eqNullSafe(F.col("__k"))) & (F.col("__h") == F.col("__th"))).dropDuplicates([key, "__h"])
+    return kept.select(*docs.columns).unionByName(rows.where(empty).select(*docs.columns))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
