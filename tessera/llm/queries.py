@@ -7,6 +7,7 @@ import importlib
 #: query name -> (module, function)
 _QUERIES = {
     "op1_quality": ("quality", "op1_quality"),
+    "op2_media": ("media", "op2_media"),
     "op3_repeats": ("repeats", "op3_repeats"),
     "op4_jaccard": ("jaccard", "op4_jaccard"),
     "op5_bpe": ("tokens", "op5_bpe"),
