@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, DecimalType, LongType
 
 #: The Castagnoli polynomial, reflected; FNV-1a's offset basis and prime, 64 bits.
 CASTAGNOLI = 0x82F63B78
@@ -85,18 +86,18 @@ def read_data_key(raw: bytes) -> tuple[bytes, int]:
     return body[:-2].replace(b"\0\xff", b"\0"), 0xFFFFFFFFFFFFFFFF - int.from_bytes(raw[-8:], "big")
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def crc32c_udf(data: pd.Series) -> pd.Series:
     return data.map(crc32c, na_action="ignore").astype("Int64")
 
 
-@pandas_udf("decimal(20,0)")
+@pandas_udf(DecimalType(20, 0))
 def fnv1a_udf(data: pd.Series) -> pd.Series:
     from decimal import Decimal
 
     return data.map(lambda b: Decimal(fnv1a(b)), na_action="ignore")
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def data_key_udf(key: pd.Series, commit_ts: pd.Series) -> pd.Series:
     return pd.Series([None if k is None or ts is None or np.isnan(ts) else data_key(k, int(ts)) for k, ts in zip(key, commit_ts, strict=True)])
