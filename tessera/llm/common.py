@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about so many bytes, so that work arrays stay small.
 SLICE_BYTES = 1 << 19
+#: Spark's limit to the bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,15 +47,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are cut to a bounded number of text bytes first."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; batches are cut to a bounded number of text bytes first.
+
+    `done` runs at the end of each task, for what a worker should not keep while it is idle. Spark's own batches are
+    bounded in bytes too, unless the session says otherwise: ten thousand long texts would be too much for one.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, "67108864b") == "67108864b":
+        conf.set(BATCH_BYTES, str(8 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in bounded(batch):
-                out = fn(part)
-                if out is not None and out.num_rows:
-                    yield out
+        try:
+            for batch in batches:
+                for part in bounded(batch):
+                    out = fn(part)
+                    if out is not None and out.num_rows:
+                        yield out
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,72 +22,82 @@ STEP = 64
 #: Ranks within a length are taken in so many parts, so that a common length is spread over tasks.
 PARTS = 64
 #: Strings whose ids a worker remembers, at most.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 
-#: Letters that NFC leaves alone and that lower-case one by one, with at most one full stop or comma behind.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_MARK = "\x01"
+#: Lower-case words of these letters, whose bytes and last bytes have single-byte names below.
+_PLAIN = re.compile(r"[a-zà-öø-ÿ]+")
+_ELSE = re.compile(r"[^\x00-\u024f]|<\|")
+#: A full stop or comma behind a letter at a word's end is a token of its own; a blank is put before it.
+_STOP = re.compile(r"[.,](?<=[a-zà-öø-ÿ].)(?=[ \n]|\Z)")
+_BODY = frozenset(range(97, 123)) | {0xC3} | frozenset(range(0x80, 0xC0))
+_LAST = bytes(b - 32 if 97 <= b < 123 else b - 0x80 if 0x80 <= b < 0xC0 else 255 for b in range(256))
+
+
+def _byte_names() -> dict[str, int]:
+    """The characters by which byte-level vocabularies name bytes: printable ones themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class WordIds:
     """Ids of texts by a word-level BPE tokenizer, as little-endian 32-bit words.
 
     The tokenizer cuts at white space and drops it, so ids of a text are those of its blank-separated
-    strings one after another, and those are remembered. Plain words skip the tokenizer's normaliser; many
-    go through it in one string, a control character between them.
+    strings one after another, and those are remembered. Plain lower-case words go by a byte-pair encoder over the same
+    vocabulary, in which the last byte of a word has a name of its own in place of the vocabulary's word-end mark;
+    ids rank merges there as here. All other strings, and texts with rarer letters or marks that may be
+    special, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import json
+
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.mark = self.plain.encode(_MARK, add_special_tokens=False).ids
+        model = json.loads(self.whole.to_str())["model"]
+        names, mark = _byte_names(), model["end_of_word_suffix"]
+        ranks = {}
+        for token, rank in model["vocab"].items():
+            end = token.endswith(mark)
+            body = token[: -len(mark)] if end else token
+            raw = bytes(names[c] for c in body) if body and all(c in names for c in body) else b""
+            if raw and all(b in _BODY for b in raw) and not (end and raw[-1] == 0xC3):
+                ranks[raw[:-1] + _LAST[raw[-1] : raw[-1] + 1] if end else raw] = rank
+        self.piece = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        split, odd = {}, []
-        for s in missing:
-            m = _PLAIN.fullmatch(s)
-            if m:
-                split[s] = (m[1].lower(), m[2])
-            else:
-                odd.append(s)
-        new = list({w for pair in split.values() for w in pair if w} - self.words.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            ids = np.array(self.plain.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, dtype=np.int64)
-            if len(cut) == len(part) - 1:
-                begin, end = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(ids)]))
-                raw = ids.tobytes()
-                for w, a, b in zip(part, begin.tolist(), end.tolist(), strict=True):
-                    self.words[w] = raw[4 * a : 4 * b]
+        known, piece, plain, odd = self.known, self.piece, _PLAIN.fullmatch, []
+        for w in missing:
+            if plain(w):
+                raw = w.encode()
+                known[w] = array("I", piece(raw[:-1] + _LAST[raw[-1] : raw[-1] + 1])).tobytes()
             else:
-                for w in part:
-                    self.words[w] = np.array(self.plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        for s, (word, stop) in split.items():
-            self.known[s] = self.words[word] + (self.words[stop] if stop else b"")
-        for s, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
-            self.known[s] = np.array(e.ids, dtype="<u4").tobytes()
+                odd.append(w)
+        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*parts)
-        missing = every - self.known.keys()
-        if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                missing = every
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out = []
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            if _ELSE.search(text):
+                out.append(array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            words = _STOP.sub(r" \g<0>", text.lower()).replace("\n", " ").split(" ")
+            try:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                self._learn({w for w in words if w not in self.known})
+                out.append(b"".join(map(self.known.__getitem__, words)))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -114,7 +125,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 row.append(i), start.append(at), length.append(len(part) // 4), crc.append(zlib.crc32(part)), total.append(n)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["k", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_batches(rows, cut, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("k", key)
+    return map_batches(rows, cut, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long", done=lambda: word_ids(path).known.clear()).withColumnRenamed("k", key)
 
 
 def plan(histogram: dict[int, int]) -> tuple[list[tuple[int, int, list[int]]], np.ndarray]:
