@@ -17,14 +17,15 @@ RULES = {
     "length": ("n_words between 50 and 200000", "n_words < 5"),
     "word_length": ("word_chars between 3.5 * n_words and 7 * n_words", "word_chars < 2.5 * n_words or word_chars > 10 * n_words"),
     "symbols": ("50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    "lines": ("n_lines >= 3 and 10 * n_dup_lines < n_lines", "n_lines >= 3 and 10 * n_dup_lines >= 3 * n_lines"),
-    "repeats": ("n_words >= 20 and 10 * n_repeat_words < 2 * n_words", "10 * n_repeat_words > 4 * n_words"),
-    "case": ("n_letters >= 20 and 10 * n_upper < n_letters", "n_letters >= 20 and 10 * n_upper > 4 * n_letters"),
-    "shouts": ("20 * n_shouts < n_words", "10 * n_shouts > 3 * n_words"),
+    "lines": ("n_lines >= 3 and 10 * n_dup_lines < n_lines", "n_lines >= 3 and 2 * n_dup_lines > n_lines"),
+    "style": ("n_letters >= 20 and 10 * n_upper < n_letters and 20 * n_shouts < n_words", "n_letters >= 20 and (10 * n_upper > 4 * n_letters or 10 * n_shouts > 3 * n_words)"),
     "letters": ("4 * n_letters >= 3 * word_chars", "2 * n_letters < word_chars"),
 }
-#: Iterations; the prior before any, in pseudo-documents; and the range an accuracy may take.
-ROUNDS, PRIOR_GOOD, PRIOR_RIGHT, PRIOR_VOTES, LEAST, MOST = 20, 0.8, 0.85, 20.0, 0.55, 0.999
+#: Iterations; the share of good documents and the rules' accuracies on good and on bad ones before any, in so many pseudo-votes;
+#: and the ranges that accuracies may take. Rules are written to be right on good documents; each knows one defect,
+#: so on bad ones it may well be wrong. Rules of one defect are one rule: votes count as independent.
+ROUNDS, PRIOR_GOOD, RIGHT_GOOD, RIGHT_BAD, PRIOR_VOTES = 20, 0.7, 0.99, 0.2, 20.0
+GOOD_RANGE, BAD_RANGE = (0.98, 0.9995), (0.02, 0.98)
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts", "n_letters")
 
 
@@ -66,7 +67,7 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     Expectation-maximisation of a two-class model: each rule has an accuracy on good and one on bad
     documents, abstentions say nothing. It runs inside one expression over the array of patterns, of which
     there are at most 3 to the number of rules whatever the corpus, so that is the bound of the one row.
-    Pseudo-votes keep a rule that rarely votes near the prior accuracy, and accuracies stay above chance,
+    Pseudo-votes keep a rule that rarely votes near the prior accuracy, and accuracies on good documents stay high,
     which fixes which class is the good one. No pattern at all gives no row.
     """
     k = len(RULES)
@@ -77,15 +78,14 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     score = "1D / (1D + exp(-(st.b + aggregate(zip_with(x.v, zip_with(st.g, st.d, (g, d) -> named_struct('g', g, 'd', d)), (v, y) -> case v when 1 then y.g when 2 then y.d else 0D end), 0D, (a, y) -> a + y))))"
     scored = f"transform(ps, x -> named_struct('v', x.v, 'w', x.w, 'r', {score}))"
     total = lambda what: f"aggregate(q, 0D, (a, x) -> a + {what})"
-    clamp = lambda e: f"least({MOST}D, greatest({LEAST}D, {e}))"
-    right = PRIOR_VOTES * PRIOR_RIGHT
-    good = clamp(f"({total('if(x.v[j] = 1, x.w * x.r, 0D)')} + {right}D) / ({total('if(x.v[j] <> 0, x.w * x.r, 0D)')} + {PRIOR_VOTES}D)")
-    bad = clamp(f"({total('if(x.v[j] = 2, x.w * (1D - x.r), 0D)')} + {right}D) / ({total('if(x.v[j] <> 0, x.w * (1D - x.r), 0D)')} + {PRIOR_VOTES}D)")
+    clamp = lambda e, at: f"least({at[1]}D, greatest({at[0]}D, {e}))"
+    good = clamp(f"({total('if(x.v[j] = 1, x.w * x.r, 0D)')} + {PRIOR_VOTES * RIGHT_GOOD}D) / ({total('if(x.v[j] <> 0, x.w * x.r, 0D)')} + {PRIOR_VOTES}D)", GOOD_RANGE)
+    bad = clamp(f"({total('if(x.v[j] = 2, x.w * (1D - x.r), 0D)')} + {PRIOR_VOTES * RIGHT_BAD}D) / ({total('if(x.v[j] <> 0, x.w * (1D - x.r), 0D)')} + {PRIOR_VOTES}D)", BAD_RANGE)
     share = f"({total('x.w * x.r')} + {PRIOR_VOTES * PRIOR_GOOD}D) / ({total('x.w')} + {PRIOR_VOTES}D)"
     rates = f"named_struct('p', {share}, 'a', transform(sequence(0, {k - 1}), j -> named_struct('g', {good}, 'b', {bad})))"
     state = "named_struct('b', ln(m.p / (1D - m.p)), 'g', transform(m.a, y -> ln(y.g / (1D - y.b))), 'd', transform(m.a, y -> ln((1D - y.g) / y.b)))"
     step = f"transform(transform(array({scored}), q -> {rates}), m -> {state})[0]"
-    first = f"transform(array(named_struct('p', {PRIOR_GOOD}D, 'a', array_repeat(named_struct('g', {PRIOR_RIGHT}D, 'b', {PRIOR_RIGHT}D), {k}))), m -> {state})[0]"
+    first = f"transform(array(named_struct('p', {PRIOR_GOOD}D, 'a', array_repeat(named_struct('g', {RIGHT_GOOD}D, 'b', {RIGHT_BAD}D), {k}))), m -> {state})[0]"
     fitted = every.select("ps", F.expr(f"aggregate(sequence(1, {ROUNDS}), {first}, (st, i) -> {step})").alias("st"))
     return fitted.select(F.explode(F.expr(f"transform(ps, x -> named_struct('votes', x.votes, 'quality', {score}))")).alias("x")).select("x.votes", "x.quality")
 
@@ -97,7 +97,7 @@ def quality_rules(docs: DataFrame, text: str = "text", threshold: float = 0.5) -
     rules of RULES vote good or bad or abstain; `quality` is the posterior probability of a good document
     under accuracies that expectation-maximisation estimates over all documents of the input. kept: not
     base_failed and quality at least `threshold`. Texts are read once: counts go to the shared folder, and
-    the pattern table, of at most 3^8 rows, is the only broadcast. An empty table gives an empty table.
+    the pattern table, of at most 3^6 rows, is the only broadcast. An empty table gives an empty table.
     """
     added = ("base_failed", "votes", "quality", "kept")
     return rated(statistics(docs.select(*[c for c in docs.columns if c not in added]), text), threshold)
@@ -133,15 +133,14 @@ st as (select r, doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as
   length(t) - length(replace(t, '!', '')) as n_shouts, length(regexp_replace(t, '\P{{L}}+', '', 'g')) as n_letters from w left join covered using (r)),
 vt as (select *, {case} as votes from st),
 pat as (select votes, count(*)::double as w, {", ".join(f"votes // {3**j} % 3 as v{j}" for j in range(k))} from vt group by votes),
-s0 as (select {PRIOR_GOOD}::double as p, {", ".join(f"{PRIOR_RIGHT}::double as g{j}, {PRIOR_RIGHT}::double as b{j}" for j in range(k))})"""
+s0 as (select {PRIOR_GOOD}::double as p, {", ".join(f"{RIGHT_GOOD}::double as g{j}, {RIGHT_BAD}::double as b{j}" for j in range(k))})"""
     odds = "ln(p / (1 - p)) + " + " + ".join(f"case v{j} when 1 then ln(g{j} / (1 - b{j})) when 2 then ln((1 - g{j}) / b{j}) else 0 end" for j in range(k))
-    right = PRIOR_VOTES * PRIOR_RIGHT
-    clamp = lambda e: f"least({MOST}, greatest({LEAST}, {e}))"
+    clamp = lambda e, at: f"least({at[1]}, greatest({at[0]}, {e}))"
     for i in range(1, ROUNDS + 1):
         sums = ", ".join(
-            clamp(f"(sum(case when v{j} = 1 then w * r else 0 end) + {right}) / (sum(case when v{j} <> 0 then w * r else 0 end) + {PRIOR_VOTES})")
+            clamp(f"(sum(case when v{j} = 1 then w * r else 0 end) + {PRIOR_VOTES * RIGHT_GOOD}) / (sum(case when v{j} <> 0 then w * r else 0 end) + {PRIOR_VOTES})", GOOD_RANGE)
             + f" as g{j}, "
-            + clamp(f"(sum(case when v{j} = 2 then w * (1 - r) else 0 end) + {right}) / (sum(case when v{j} <> 0 then w * (1 - r) else 0 end) + {PRIOR_VOTES})")
+            + clamp(f"(sum(case when v{j} = 2 then w * (1 - r) else 0 end) + {PRIOR_VOTES * RIGHT_BAD}) / (sum(case when v{j} <> 0 then w * (1 - r) else 0 end) + {PRIOR_VOTES})", BAD_RANGE)
             + f" as b{j}"
             for j in range(k)
         )
