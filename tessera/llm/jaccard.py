@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, n
 
 def checked_share(n: int) -> float:
     """The share of the hash space in which a set of n shingles is checked."""
-    return 1.0 if n < 100 else 0.6 if n < 400 else 0.36
+    return 1.0 if n < 100 else 0.5 if n < 400 else 0.36 if n < 1000 else 0.3
 
 
 def emitted(s: np.ndarray) -> tuple[np.ndarray, int]:
@@ -62,6 +62,21 @@ def emitted(s: np.ndarray) -> tuple[np.ndarray, int]:
     return s[: max(emit, n // 5 + 1)], check
 
 
+def set_id(s: np.ndarray) -> int | None:
+    """A set's 64-bit name, always even; the empty set has none."""
+    if not len(s):
+        return None
+    return int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) & ~1
+
+
+def squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (k, t, th) with the text compressed for the shuffle."""
+    import zstandard as zstd
+
+    c = zstd.ZstdCompressor(level=1)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.compress(t or b"") for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], names=["k", "z", "th"])
+
+
 def find(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -192,7 +207,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Sets of distinct WORDS-word shingles of ASCII-lower-cased words; a shorter text is one shingle; a
     null or empty text has none and stands alone. Documents of Jaccard similarity at least
     PARTS_OF / PARTS are linked; component_id is the smallest key that links reach. Documents of the same set
-    (exact copies, whatever their number) go on as one, by a 64-bit set_id.
+    (exact copies, whatever their number) go on as one, by a hash of the set, set_id.
 
     Candidates: each set emits about a third of its shingles, smallest hashes first (`emitted`);
     a set whose checked shingles are too rarely those of other sets can link with none and goes. What is
@@ -207,53 +222,61 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column(1))
-        n, ids, check, sent, seen = [], [], [], [], set()
+        n, ids, check = [], [], []
         for _, s in shingle_sets(data, offsets):
-            out, c = emitted(s) if len(s) else (s, 0)
-            sid = int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None
-            n.append(len(s)), ids.append(sid), check.append(c)
+            n.append(len(s)), ids.append(set_id(s)), check.append(emitted(s)[1] if len(s) else 0)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), batch.column(2)], names=["k", "n", "sid", "checked", "th"])
+
+    def speak(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tags, sent, seen = [], [], set()
+        for _, s in shingle_sets(*text_bytes(batch.column(0))):
+            sid = set_id(s)
             # a copy within the batch need not speak again
-            sent.append(out.view(np.int64) if sid not in seen else np.zeros(0, dtype=np.int64))
-            seen.add(sid)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(sent, pa.list_(pa.int64())), batch.column(2)], names=["k", "n", "sid", "checked", "sent", "th"])
-
-    signed = map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, sent array<bigint>, th long")
-    told = stored(signed)
-    sets = told.select("k", "n", "sid", "checked", "th")
-
-    # shingles that more than one set has, once for each set
-    by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("sid")
-    spoken = told.where("sid is not null").select("sid", "n", "checked", F.posexplode("sent").alias("at", "h"))
-    spoken = spoken.select("sid", "n", "h", (F.col("at") < F.col("checked")).alias("on"))
-    common = spoken.withColumns({"lo": F.min("sid").over(ordered), "prev": F.lag("sid").over(ordered), "hi": F.max("sid").over(by_hash)}).where("lo <> hi and (prev is null or prev <> sid)").select("h", "sid", "n", "on")
+            if sid is not None and sid not in seen:
+                seen.add(sid)
+                out, c = emitted(s)
+                tags.append(np.where(np.arange(len(out)) < c, sid | 1, sid))
+                sent.append(out.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (sent, tags)], names=["h", "tag"])
+
+    # the texts are signed twice: that costs less than keeping what they emit
+    sets = stored(map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, th long"))
+    spoken = map_batches(rows.select("t"), speak, "h long, tag long")
+
+    # shingles that more than one set has, once for each set; a tag is the set with the checked mark as its last bit
+    by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("tag")
+    spoken = spoken.withColumns({"lo": F.min("tag").over(ordered), "prev": F.lag("tag").over(ordered), "hi": F.max("tag").over(by_hash)})
+    other = F.col("lo").bitwiseAND(~1) != F.col("hi").bitwiseAND(~1)
+    common = spoken.where(other & (F.col("prev").isNull() | (F.col("prev") != F.col("tag")))).select("h", F.col("tag").bitwiseAND(~1).alias("sid"), F.col("tag").bitwiseAND(1).alias("on"))
     common = stored(common)
-    heard = common.groupBy("sid").agg(F.first("n").alias("n"), F.sum(F.col("on").cast("long")).alias("shared"))
-    known = sets.where("sid is not null").groupBy("sid").agg(F.first("checked").alias("checked"), F.min("th").alias("th"))
-    alive = heard.join(known, "sid").where("shared >= checked - floor(n / 5)").select("sid", "th", "n")
+    heard = common.groupBy("sid").agg(F.sum("on").alias("shared"))
+    known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("checked").alias("checked"), F.min(F.struct("k", "th")).alias("row"))
+    alive = heard.join(known, "sid").where("shared >= checked - floor(n / 5)").select("sid", "row.k", "row.th")
     alive = stored(alive)
     near = common.select("h", "sid").join(alive.select("sid"), "sid")
     star = near.withColumn("u", F.min("sid").over(Window.partitionBy("h"))).where("u <> sid").select(F.col("u").alias("a"), F.col("sid").alias("b")).distinct()
     cluster = components(star)
     size = cluster.groupBy("root").agg(F.count("*").alias("members"))
-    member = cluster.join(size, "root").join(alive, F.col("node") == F.col("sid")).select("sid", "th", F.col("root").alias("cluster"), "members")
+    member = cluster.join(size, "root").join(alive, F.col("node") == F.col("sid")).select("sid", "k", "th", F.col("root").alias("cluster"), "members")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    member = stored(member.select("sid", "th", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
+    member = stored(member.select("sid", F.col("k").alias("mk"), F.col("th").alias("mh"), "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
 
     # the sets themselves, once for each pair of blocks that they take part in
-    body = rows.join(member.withColumnRenamed("th", "mh"), F.col("th") == F.col("mh")).select("sid", "cluster", "blocks", "block", "t")
+    packed = map_batches(rows, squeezed, f"k {kind}, z binary, th long")
+    body = packed.join(member, (F.col("th") == F.col("mh")) & F.col("k").eqNullSafe(F.col("mk"))).select("sid", "cluster", "blocks", "block", "z")
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('p', least(x, block), 'q', greatest(x, block)))")
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = text_bytes(batch.column(4))
-        found = [s.view(np.int64) for _, s in shingle_sets(data, offsets)]
-        want = batch.column(0).to_pylist()
-        sid = [int(mixed((mixed(s.view(np.uint64)) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) if len(s) else None for s in found]
+        import zstandard as zstd
+
+        d = zstd.ZstdDecompressor()
+        found = [s for _, s in shingle_sets(*text_bytes(pa.array([d.decompress(z) for z in batch.column(4).to_pylist()], pa.binary())))]
         # hashes of texts may coincide; only the row with the very set counts
-        ok = np.array([a == b for a, b in zip(sid, want, strict=True)], dtype=bool)
+        ok = [set_id(s) == sid for s, sid in zip(found, batch.column(0).to_pylist(), strict=True)]
         out = pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "cluster", "blocks", "block", "shingles"])
-        return out.filter(pa.array(ok))
+        return out.filter(pa.array(ok, pa.bool_()))
 
-    body = map_batches(body, again, "sid long, cluster long, blocks int, block int, shingles binary").dropDuplicates(["sid"])
+    body = map_batches(body, again, "sid long, cluster long, blocks int, block int, shingles binary")
     met = body.select("sid", "cluster", "block", "shingles", F.explode(pairs).alias("pq")).select("sid", "cluster", "pq.p", "pq.q", "block", "shingles")
 
     def join(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
