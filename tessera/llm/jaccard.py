@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, row_slices, stored, table, text_bytes
+from tessera.llm.common import map_batches, release_memory, row_slices, stored, table, text_bytes
 from tessera.llm.hashing import LOWER, mixed, prefix, windows, words
 
 WORDS = 5
@@ -47,26 +47,24 @@ def checked_share(n: int) -> float:
     return 1.0 if n < 100 else 0.5 if n < 400 else 0.36 if n < 1000 else 0.3
 
 
-def emitted(s: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles of a sorted set that stand for it in the candidate search, and how many of them are checked.
+def emitted(s: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The shingles of a sorted set that stand for it in the candidate search, and how many of them, from the
+    smallest on, count when the set itself is the larger of a pair, and when a partner is a quarter larger.
 
-    Two sets that link differ in size by a quarter at most, and either misses at most a fifth of itself.
-    So the smallest floor(n / 5) + 1 hashes of both hold a common one (the prefix filter in hash order),
-    and of the checked hashes, those below a threshold, at most floor(n / 5) are not in the other set. A
-    set emits what any partner's threshold may ask for.
+    Two sets that link differ in size by a quarter at most, and either misses at most a fifth of itself. Of its hashes below
+    a threshold, then, at most floor(n / 5) are not in the other set. The larger set's size gives a pair's
+    threshold; a set emits what any partner's threshold may ask for.
     """
     n = len(s)
     limit = lambda share: len(s) if share >= 1 else int(np.searchsorted(s, np.uint64(int(share * (1 << 64)))))
-    check = limit(checked_share(n))
-    emit = limit(max(checked_share(n), checked_share(int(0.8 * n))))
-    return s[: max(emit, n // 5 + 1)], check
+    return s[: max(limit(checked_share(int(0.8 * n))), n // 5 + 1)], limit(checked_share(n)), limit(checked_share(n * 5 // 4))
 
 
 def set_id(s: np.ndarray) -> int | None:
-    """A set's 64-bit name, always even; the empty set has none."""
+    """A set's 64-bit name, always a multiple of four; the empty set has none."""
     if not len(s):
         return None
-    return int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) & ~1
+    return int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) & ~3
 
 
 def squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -130,18 +128,20 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return PARTS * same >= PARTS_OF * (len(x) + len(y) - same)
 
 
-def dual_join(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
+def dual_join(left: list[np.ndarray], right: list[np.ndarray] | None, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect whatever links connect, within `left`, or across left and right (numbered on).
 
     Both trees are walked down together, pair by pair of nodes; pairs that `possible` rules out go, and so
-    do pairs of sets that are connected already.
+    do pairs of sets that are connected already, by links or by equal labels.
     """
     own = right is None
     a = SignatureTree(left)
     b = a if own else SignatureTree(right)
     sets = left if own else left + right
     shift = 0 if own else len(left)
-    parent = np.arange(len(sets))
+    parent = np.arange(len(sets)) if labels is None else np.unique(labels, return_index=True, return_inverse=True)[1:]
+    if labels is not None:
+        parent = parent[0][parent[1]]
     links: list[tuple[int, int]] = []
 
     def descend(i: np.ndarray, j: np.ndarray, la: int, lb: int) -> None:
@@ -160,8 +160,8 @@ def dual_join(left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tu
             return
         na, nb = max(la - 1, 0), max(lb - 1, 0)
         wa, wb = (1 if la == 0 else LEAF if la == 1 else FAN), (1 if lb == 0 else LEAF if lb == 1 else FAN)
-        for at in range(0, len(i), 4096):
-            p, q = i[at : at + 4096], j[at : at + 4096]
+        for at in range(0, len(i), 512):
+            p, q = i[at : at + 512], j[at : at + 512]
             ca = (p[:, None] * wa + np.arange(wa)[None, :])[:, :, None]
             cb = (q[:, None] * wb + np.arange(wb)[None, :])[:, None, :]
             ca, cb = (x.reshape(-1) for x in np.broadcast_arrays(ca, cb))
@@ -209,10 +209,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     PARTS_OF / PARTS are linked; component_id is the smallest key that links reach. Documents of the same set
     (exact copies, whatever their number) go on as one, by a hash of the set, set_id.
 
-    Candidates: each set emits about a third of its shingles, smallest hashes first (`emitted`);
+    Candidates: each set emits a third or so of its shingles, smallest hashes first (`emitted`);
     a set whose checked shingles are too rarely those of other sets can link with none and goes. What is
-    left forms clusters over common shingles. In a cluster, sets meet in signature trees, in blocks of
-    BLOCK sets if there are more, each pair of blocks a task; links that trees find make the components.
+    left forms clusters over common shingles, of which each set takes its rarest only: as many as it may miss, and one
+    (the prefix filter in order of frequency). Passages that many documents share are among them where nothing rarer is.
+    In a cluster, sets meet in signature trees. A cluster of over BLOCK sets meets block by block, its first
+    set visiting each block; then sets not connected with that one meet all the others, again by blocks. Links that
+    trees find make the components. All this is exact but for hashes: 64 bits of a shingle, and thresholds that leave a set fewer
+    hashes than it may miss, with a chance under 1e-9 a set.
     n_links counts those links, a spanning set; it is 0 for a set that links with no other. component tells
     components apart where keys repeat.
     """
@@ -222,10 +226,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column(1))
-        n, ids, check = [], [], []
+        n, ids, check, larger = [], [], [], []
         for _, s in shingle_sets(data, offsets):
-            n.append(len(s)), ids.append(set_id(s)), check.append(emitted(s)[1] if len(s) else 0)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), batch.column(2)], names=["k", "n", "sid", "checked", "th"])
+            _, c, d = emitted(s)
+            n.append(len(s)), ids.append(set_id(s)), check.append(c), larger.append(d)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(larger, pa.int64()), batch.column(2)], names=["k", "n", "sid", "checked", "larger", "th"])
 
     def speak(batch: pa.RecordBatch) -> pa.RecordBatch:
         tags, sent, seen = [], [], set()
@@ -234,63 +239,94 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             # a copy within the batch need not speak again
             if sid is not None and sid not in seen:
                 seen.add(sid)
-                out, c = emitted(s)
-                tags.append(np.where(np.arange(len(out)) < c, sid | 1, sid))
+                out, c, d = emitted(s)
+                at = np.arange(len(out))
+                tags.append(sid + (at < c) + 2 * (at < d))
                 sent.append(out.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (sent, tags)], names=["h", "tag"])
 
     # the texts are signed twice: that costs less than keeping what they emit
-    sets = stored(map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, th long"))
+    sets = stored(map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, larger long, th long"))
     spoken = map_batches(rows.select("t"), speak, "h long, tag long")
 
-    # shingles that more than one set has, once for each set; a tag is the set with the checked mark as its last bit
+    # shingles that more than one set has, once for each set; a tag is the set with two marks as its last bits
     by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("tag")
-    spoken = spoken.withColumns({"lo": F.min("tag").over(ordered), "prev": F.lag("tag").over(ordered), "hi": F.max("tag").over(by_hash)})
-    other = F.col("lo").bitwiseAND(~1) != F.col("hi").bitwiseAND(~1)
-    common = spoken.where(other & (F.col("prev").isNull() | (F.col("prev") != F.col("tag")))).select("h", F.col("tag").bitwiseAND(~1).alias("sid"), F.col("tag").bitwiseAND(1).alias("on"))
-    common = stored(common)
-    heard = common.groupBy("sid").agg(F.sum("on").alias("shared"))
-    known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("checked").alias("checked"), F.min(F.struct("k", "th")).alias("row"))
-    alive = heard.join(known, "sid").where("shared >= checked - floor(n / 5)").select("sid", "row.k", "row.th")
-    alive = stored(alive)
-    near = common.select("h", "sid").join(alive.select("sid"), "sid")
+    new = F.col("prev").isNull() | (F.col("prev") != F.col("tag"))
+    spoken = spoken.withColumn("prev", F.lag("tag").over(ordered)).withColumn("df", F.sum(new.cast("int")).over(by_hash)).where(new & (F.col("df") > 1))
+    common = stored(spoken.select("h", F.col("tag").bitwiseAND(~3).alias("sid"), F.col("tag").bitwiseAND(1).cast("int").alias("on"), F.shiftright(F.col("tag").bitwiseAND(2), 1).cast("int").alias("far"), F.col("df").cast("int").alias("df")))
+    heard = common.groupBy("sid").agg(F.sum("on").alias("shared"), F.sum("far").alias("shared_far"))
+    known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("checked").alias("checked"), F.first("larger").alias("larger"), F.min(F.struct("k", "th")).alias("row"))
+    miss = F.floor(F.col("n") / 5)
+    alive = heard.join(known, "sid").where(F.col("shared") >= F.col("checked") - miss)
+    # shingles of one set only come first in the order of frequency, and need no row
+    alive = stored(alive.select("sid", "row.k", "row.th", (miss + 1 - F.col("checked") + F.col("shared")).alias("own"), (miss + 1 - F.col("larger") + F.col("shared_far")).alias("wide")))
+    rare = Window.partitionBy("sid").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0)
+    near = common.join(alive.select("sid", "own", "wide"), "sid").withColumns({"i": F.sum("on").over(rare), "j": F.sum("far").over(rare)})
+    near = near.where("(on = 1 and i <= own) or (far = 1 and j <= wide)").select("h", "sid")
     star = near.withColumn("u", F.min("sid").over(Window.partitionBy("h"))).where("u <> sid").select(F.col("u").alias("a"), F.col("sid").alias("b")).distinct()
     cluster = components(star)
     size = cluster.groupBy("root").agg(F.count("*").alias("members"))
     member = cluster.join(size, "root").join(alive, F.col("node") == F.col("sid")).select("sid", "k", "th", F.col("root").alias("cluster"), "members")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    member = stored(member.select("sid", F.col("k").alias("mk"), F.col("th").alias("mh"), "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
+    member = member.withColumn("first", F.col("sid") == F.col("cluster"))
+    member = stored(member.select("sid", F.col("k").alias("mk"), F.col("th").alias("mh"), "cluster", "first", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
 
-    # the sets themselves, once for each pair of blocks that they take part in
+    # the sets themselves
     packed = map_batches(rows, squeezed, f"k {kind}, z binary, th long")
-    body = packed.join(member, (F.col("th") == F.col("mh")) & F.col("k").eqNullSafe(F.col("mk"))).select("sid", "cluster", "blocks", "block", "z")
-    pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('p', least(x, block), 'q', greatest(x, block)))")
+    body = packed.join(member, (F.col("th") == F.col("mh")) & F.col("k").eqNullSafe(F.col("mk"))).select("sid", "cluster", "first", "blocks", "block", "z")
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard as zstd
 
         d = zstd.ZstdDecompressor()
-        found = [s for _, s in shingle_sets(*text_bytes(pa.array([d.decompress(z) for z in batch.column(4).to_pylist()], pa.binary())))]
+        found = [s for _, s in shingle_sets(*text_bytes(pa.array([d.decompress(z) for z in batch.column(5).to_pylist()], pa.binary())))]
         # hashes of texts may coincide; only the row with the very set counts
         ok = [set_id(s) == sid for s, sid in zip(found, batch.column(0).to_pylist(), strict=True)]
-        out = pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "cluster", "blocks", "block", "shingles"])
+        out = pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "cluster", "first", "blocks", "block", "shingles"])
         return out.filter(pa.array(ok, pa.bool_()))
 
-    body = map_batches(body, again, "sid long, cluster long, blocks int, block int, shingles binary")
-    met = body.select("sid", "cluster", "block", "shingles", F.explode(pairs).alias("pq")).select("sid", "cluster", "pq.p", "pq.q", "block", "shingles")
+    body = map_batches(body, again, "sid long, cluster long, first boolean, blocks int, block int, shingles binary")
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        met = body.select("cluster", F.lit(0).alias("p"), F.lit(0).alias("q"), "sid", F.col("sid").alias("label"), F.lit(False).alias("other"), "shingles")
+        return _labelled(sets, stored(_meet(met)), key)
+    body = stored(body)
+    where = F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("p")
+    met = body.select("cluster", where, F.lit(0).alias("q"), "sid", F.col("sid").alias("label"), F.lit(False).alias("other"), "shingles")
+    links = stored(_meet(met))
+    # in large clusters: what is connected with the first set, and what is not yet
+    label = components(links)
+    seen = large.join(label, F.col("sid") == F.col("node"), "left").select("sid", "cluster", "first", F.coalesce("root", "sid").alias("label"))
+    main = seen.where("first").select("cluster", F.col("label").alias("main"))
+    seen = seen.join(main, "cluster").withColumn("rest", F.col("label") != F.col("main"))
+    n = seen.groupBy("cluster").agg(F.ceil(F.count_if("rest") / F.lit(BLOCK)).cast("int").alias("nr"), F.ceil(F.count_if(~F.col("rest")) / F.lit(BLOCK)).cast("int").alias("nm"))
+    part = F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
+    seen = seen.join(n, "cluster").where("nr > 0").select("sid", "label", "rest", "nr", "nm", part.alias("own"))
+    # (p, q): block p of the rest meets block q of the main part, or a later block of the rest, those counted on from nm
+    meets = F.expr("""case when not rest then transform(sequence(0, nr - 1), x -> named_struct('p', x, 'q', own, 'other', true))
+      else concat(transform(sequence(0, nm - 1), x -> named_struct('p', own, 'q', x, 'other', false)), transform(sequence(own, nr - 1), x -> named_struct('p', own, 'q', nm + x, 'other', false)),
+      transform(filter(sequence(0, nr - 1), x -> x < own), x -> named_struct('p', x, 'q', nm + own, 'other', true))) end""")
+    met = body.where("blocks > 1").join(seen, "sid").select("cluster", "sid", "label", "shingles", F.explode(meets).alias("m")).select("cluster", "m.p", "m.q", "sid", "label", "m.other", "shingles")
+    return _labelled(sets, stored(links.unionByName(_meet(met))), key)
+
+
+def _meet(met: DataFrame) -> DataFrame:
+    """(a, b): links that trees find in each group (cluster, p, q) of sets (sid, label, other, shingles), within it or across `other`."""
 
     def join(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side: dict[bool, dict[int, np.ndarray]] = {False: {}, True: {}}
+        side: dict[bool, dict[int, tuple[int, np.ndarray]]] = {False: {}, True: {}}
         for b in batches:
-            for sid, p, block, raw in zip(*(b.column(c).to_pylist() for c in ("sid", "p", "block", "shingles")), strict=True):
-                side[block != p][sid] = np.frombuffer(raw, dtype=np.uint64)
-        left, right = ({k: side[x][k] for k in sorted(side[x])} for x in (False, True))
-        names = [*left, *right]
-        links = dual_join(list(left.values()), list(right.values()) if right else None)
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
+            for sid, label, other, raw in zip(*(b.column(c).to_pylist() for c in ("sid", "label", "other", "shingles")), strict=True):
+                side[other][sid] = (label, np.frombuffer(raw, dtype=np.uint64))
+        left, right = ([(k, *side[x][k]) for k in sorted(side[x])] for x in (False, True))
+        names, labels = [k for k, _, _ in left + right], [v for _, v, _ in left + right]
+        links = dual_join([s for _, _, s in left], [s for _, _, s in right] if right else None, labels) if left else []
+        out = pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.int64()), pa.array([names[j] for _, j in links], pa.int64())], names=["a", "b"])
+        del side, left, right, links
+        release_memory()
+        yield out
 
-    links = stored(met.groupBy("cluster", "p", "q").applyInArrow(join, "a long, b long"))
-    return _labelled(sets, links, key)
+    return met.groupBy("cluster", "p", "q").applyInArrow(join, "a long, b long")
 
 
 def _labelled(sets: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -322,3 +358,15 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = {
+    "op4_jaccard": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sh as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as root from n union select e.b, r.root from r join e on r.doc_id = e.a where r.root < e.b)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(min(r.root), w.doc_id) as component_id from w left join n using (doc_id) left join r using (doc_id) group by w.doc_id, n.n"""
+}
