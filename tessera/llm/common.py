@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about so many bytes, so that work arrays stay small.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 #: Spark's limit to the bytes of an Arrow batch.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -55,7 +57,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     """
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES, "67108864b") == "67108864b":
-        conf.set(BATCH_BYTES, str(8 << 20))
+        conf.set(BATCH_BYTES, str(2 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -67,10 +69,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         finally:
             if done is not None:
                 done()
+            release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives a worker's free memory back to the system: workers stay, idle, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded(batch: pa.RecordBatch, most: int = 8 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most `most` bytes, or one row if that is longer."""
     size = batch.nbytes

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SLICE_BYTES, map_batches, row_slices, stored, table, text_bytes
+from tessera.llm.common import map_batches, release_memory, row_slices, stored, table, text_bytes
 from tessera.llm.hashing import powers, prefix, ranges
 
 #: A string of so many bytes that starts twice is a repeat.
@@ -18,8 +18,10 @@ LENGTH = 200
 #: Bytes of the grams by whose hash strings meet, and how many grams a string has.
 GRAM = 64
 SPREAD = LENGTH - GRAM
+#: A row of more bytes is looked through in stretches.
+SLICE_BYTES = 1 << 19
 #: Contexts of a shard, of a merge, and of a gram that are refined in one task.
-SHARD, MERGE, HOT = 8192, 1 << 16, 1 << 16
+SHARD, MERGE, HOT = 8192, 1 << 15, 1 << 15
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -257,8 +259,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                 if out is not None:
                     yield out
         out = done(held) if held else None
+        held = []
         if out is not None:
             yield out
+        del out
+        release_memory()
 
     cold = context.where("not hot").select("dk", "s", "d", "g", "h", "twin", "c").repartition("g").sortWithinPartitions("g")
     merged = cold.mapInArrow(merge, "dk long, s int, n int")
