@@ -27,7 +27,8 @@ def transfer_ledger(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
     """(part, log_index, op_id, outcome) of transfers folded in log order, each group of accounts its own state.
 
     Transfers carry a `part`, the replicated range that both accounts lie in (wrong_range where target's part
-    differs, as `target_part`). A retry returns the recorded outcome; a balance below the amount refuses.
+    differs, as `target_part`). A retry returns the recorded outcome; a balance below the amount refuses; a transfer to the wrong
+    range is not recorded, as another range may decide it.
     """
     both = transfers.withColumn("kind", F.lit("op"))
 
@@ -36,16 +37,17 @@ def transfer_ledger(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
         decided: dict[int, str] = {}
         out = []
         for t in ops.sort_values("log_index").itertuples():
-            if t.op_id not in decided:
-                if t.target_part != t.part or t.source not in balance or t.target not in balance:
-                    decided[t.op_id] = "wrong_range"
-                elif balance[t.source] < t.amount:
-                    decided[t.op_id] = "insufficient_funds"
-                else:
-                    balance[t.source] -= t.amount
-                    balance[t.target] += t.amount
-                    decided[t.op_id] = "ok"
-            out.append((t.part, t.log_index, t.op_id, decided[t.op_id]))
+            if t.op_id in decided:
+                outcome = decided[t.op_id]
+            elif t.target_part != t.part or t.source not in balance or t.target not in balance:
+                outcome = "wrong_range"
+            elif balance[t.source] < t.amount:
+                outcome = decided[t.op_id] = "insufficient_funds"
+            else:
+                balance[t.source] -= t.amount
+                balance[t.target] += t.amount
+                outcome = decided[t.op_id] = "ok"
+            out.append((t.part, t.log_index, t.op_id, outcome))
         return pd.DataFrame(out, columns=["part", "log_index", "op_id", "outcome"])
 
     return both.groupBy("part").cogroup(accounts.groupBy("part")).applyInPandas(fold, "part long, log_index long, op_id long, outcome string")

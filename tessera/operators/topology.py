@@ -135,44 +135,229 @@ def keys_outside(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     return keys.join(F.broadcast(r), "range_id").where(~contains(F.col("start"), F.col("end"), F.col("key"))).select("key", "range_id")
 
 
+COMMAND = "group long, log_index long, op string, range_id long, other long, generation long, at long, replicas array<int>, learners array<int>, node long, time long, value long"
+
+
+class _Topology:
+    """One group's ranges, node health and range reports; `apply` says whether a command's conditions held."""
+
+    def __init__(self) -> None:
+        self.ranges: dict[int, dict] = {}
+        self.health: dict[int, int] = {}
+        self.reports: dict[int, dict] = {}
+        self.next_id = 1
+
+    def add(self, start, end, replicas, learners) -> None:
+        self.ranges[self.next_id] = {"start": start, "end": end, "generation": 1, "replicas": sorted(replicas), "learners": sorted(learners), "frozen": False, "lease": (0, 0, 0)}
+        self.next_id += 1
+
+    def known(self, c) -> dict | None:
+        """The command's range, if its generation is the one expected (0: any)."""
+        r = self.ranges.get(c["range_id"])
+        return r if r is not None and c["generation"] in (0, r["generation"]) else None
+
+    def apply(self, c: dict) -> bool:
+        step = getattr(self, f"on_{c['op']}", None)
+        return bool(step and step(c))
+
+    def on_bootstrap(self, c) -> bool:
+        if self.ranges:
+            return False
+        self.add(None, None, c["replicas"], c["learners"])
+        return True
+
+    def on_split(self, c) -> bool:
+        r, at = self.known(c), c["at"]
+        if r is None or r["frozen"] or at is None or (r["start"] is not None and at <= r["start"]) or (r["end"] is not None and at >= r["end"]):
+            return False
+        self.add(at, r["end"], r["replicas"], r["learners"])
+        r["end"] = at
+        r["generation"] += 1
+        return True
+
+    def on_begin_merge(self, c) -> bool:
+        left, right = self.known(c), self.ranges.get(c["other"])
+        if left is None or right is None or left["end"] is None or left["end"] != right["start"] or left["frozen"] or right["frozen"]:
+            return False
+        if left["replicas"] != right["replicas"] or left["lease"][0] == 0 or left["lease"][0] != right["lease"][0]:
+            return False
+        right["frozen"] = True
+        right["generation"] += 1
+        return True
+
+    def on_abort_merge(self, c) -> bool:
+        right = self.ranges.get(c["other"])
+        if right is None or not right["frozen"]:
+            return False
+        right["frozen"] = False
+        right["generation"] += 1
+        return True
+
+    def on_finish_merge(self, c) -> bool:
+        left, right = self.ranges.get(c["range_id"]), self.ranges.get(c["other"])
+        if left is None or right is None or not right["frozen"] or left["end"] != right["start"]:
+            return False
+        left["end"] = right["end"]
+        left["generation"] += 1
+        del self.ranges[c["other"]]
+        self.reports.pop(c["other"], None)
+        return True
+
+    def on_change_replicas(self, c) -> bool:
+        r, new = self.known(c), sorted(c["replicas"])
+        if r is None or not new:
+            return False
+        both = len(set(new) & set(r["replicas"]))
+        if 2 * both <= len(r["replicas"]) or 2 * both <= len(new):
+            return False
+        r["replicas"], r["learners"] = new, sorted(c["learners"])
+        r["generation"] += 1
+        if r["lease"][0] not in new:
+            r["lease"] = (0, 0, 0)
+        return True
+
+    def on_grant_lease(self, c) -> bool:
+        """Published only: no new generation, and none that begins before the one known."""
+        r = self.ranges.get(c["range_id"])
+        if r is None or c["time"] < r["lease"][1]:
+            return False
+        r["lease"] = (c["node"], c["time"], c["value"])
+        return True
+
+    def on_node_heartbeat(self, c) -> bool:
+        self.health[c["node"]] = max(self.health.get(c["node"], 0), c["time"])
+        return True
+
+    def on_report_size(self, c) -> bool:
+        if c["range_id"] not in self.ranges:
+            return False
+        self.reports.setdefault(c["range_id"], {"caught_up": set()}).update(keys=c["value"], median=c["at"], reported_at=c["time"])
+        return True
+
+    def on_report_catchup(self, c) -> bool:
+        r = self.ranges.get(c["range_id"])
+        if r is None or c["node"] not in (*r["replicas"], *r["learners"]):
+            return False
+        self.reports.setdefault(c["range_id"], {"caught_up": set()})["caught_up"].add(c["node"])
+        return True
+
+    def on_set_descriptor(self, c) -> bool:
+        r = self.ranges.get(c["range_id"])
+        if r is None:
+            return False
+        r["end"] = c["at"]
+        r["generation"] += 1
+        return True
+
+
+def _commands(pdf: pd.DataFrame) -> list[dict]:
+    """A group's commands in log order, nulls as None, 0 or no members."""
+    out = []
+    for c in pdf.sort_values("log_index").to_dict("records"):
+        for k in ("range_id", "other", "generation", "node", "time", "value"):
+            c[k] = 0 if pd.isna(c[k]) else int(c[k])
+        c["at"] = None if pd.isna(c["at"]) else int(c["at"])
+        for k in ("replicas", "learners"):
+            c[k] = [] if c[k] is None else [int(n) for n in c[k]]
+        out.append(c)
+    return out
+
+
 def replay_topology(commands: DataFrame) -> DataFrame:
-    """(log_index, op, accepted) of topology commands folded in log order.
+    """(group, log_index, op, accepted) of topology commands (COMMAND) folded in log order.
 
-    Commands are (group, log_index, op, range_id, generation, at, replicas). bootstrap makes range 1 over all
-    keys; split needs a key strictly inside and makes range_id = highest + 1; merge absorbs the right neighbour
-    if both have the same replicas; change_replicas needs majorities of old and new to overlap. A non-zero
-    generation must match. Each command depends on all before it, so a group is one fold.
+    Each command depends on all before it, so a group is one fold. Rejected commands change nothing.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranges: dict[int, dict] = {}
-        out = []
-        for c in pdf.sort_values("log_index").itertuples():
-            r, ok = ranges.get(c.range_id), False
-            match = r is not None and (c.generation == 0 or c.generation == r["gen"])
-            if c.op == "bootstrap":
-                ok = not ranges
-                if ok:
-                    ranges[1] = {"start": None, "end": None, "gen": 1, "replicas": sorted(c.replicas)}
-            elif c.op == "split" and match:
-                ok = (r["start"] is None or c.at > r["start"]) and (r["end"] is None or c.at < r["end"])
-                if ok:
-                    ranges[max(ranges) + 1] = {"start": int(c.at), "end": r["end"], "gen": r["gen"] + 1, "replicas": list(r["replicas"])}
-                    r["end"], r["gen"] = int(c.at), r["gen"] + 1
-            elif c.op == "merge" and match and r["end"] is not None:
-                right = next((k for k, x in ranges.items() if x["start"] == r["end"]), None)
-                ok = right is not None and ranges[right]["replicas"] == r["replicas"]
-                if ok:
-                    x = ranges.pop(right)
-                    r["end"], r["gen"] = x["end"], max(r["gen"], x["gen"]) + 1
-            elif c.op == "change_replicas" and match:
-                old, new = set(r["replicas"]), set(c.replicas)
-                both = len(old & new)
-                ok = bool(new) and 2 * both > len(old) and 2 * both > len(new)
-                if ok:
-                    r["replicas"], r["gen"] = sorted(new), r["gen"] + 1
-            out.append(ok)
-        done = pdf.sort_values("log_index")[["group", "log_index", "op"]].assign(accepted=out)
-        return done
+        state = _Topology()
+        return pd.DataFrame([(c["group"], c["log_index"], c["op"], state.apply(c)) for c in _commands(pdf)], columns=["group", "log_index", "op", "accepted"])
 
     return commands.groupBy("group").applyInPandas(fold, "group long, log_index long, op string, accepted boolean")
+
+
+def final_topology(commands: DataFrame) -> DataFrame:
+    """(group, id, start, end, generation, replicas, learners, frozen, lease_holder, n_keys, caught_up) after all commands."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = _Topology()
+        rows = _commands(pdf)
+        for c in rows:
+            state.apply(c)
+        out = []
+        for i, r in sorted(state.ranges.items()):
+            seen = state.reports.get(i, {})
+            out.append((rows[0]["group"], i, r["start"], r["end"], r["generation"], r["replicas"], r["learners"], r["frozen"], r["lease"][0], seen.get("keys"), sorted(seen.get("caught_up", ()))))
+        names = ["group", "id", "start", "end", "generation", "replicas", "learners", "frozen", "lease_holder", "n_keys", "caught_up"]
+        frame = pd.DataFrame(out, columns=names)
+        for k in ("start", "end", "n_keys"):
+            frame[k] = frame[k].astype("Int64")
+        return frame
+
+    return commands.groupBy("group").applyInPandas(fold, "group long, id long, start long, end long, generation long, replicas array<int>, learners array<int>, frozen boolean, lease_holder long, n_keys long, caught_up array<int>")
+
+
+def replay_range(commands: DataFrame, clock_bound: int = 2) -> DataFrame:
+    """(range_id, log_index, op, outcome) of one range's own log, folded in order, a range a group.
+
+    Commands are (range_id, log_index, op, at, end, generation, node, time, expiry, op_id, source, target, amount). init opens a span
+    [at, end) with its accounts at `amount` each once used; split cuts the span at `at` and lets the keys beyond go; merge takes over a right
+    neighbour that begins where the span ends; freeze stops transfers; set_descriptor takes a generation that
+    is not lower; a lease by a new holder must begin twice the clock bound after the old one's expiry. transfer: a retry
+    of an op_id returns what was decided, else uninitialised, frozen, wrong_range (a key outside or another generation),
+    insufficient_funds or applied; only the last two are remembered.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = {"ready": False, "start": None, "end": None, "generation": 1, "frozen": False, "lease": (0, 0, 0), "opening": 0}
+        balance: dict[int, int] = {}
+        decided: dict[int, str] = {}
+        inside = lambda k: (s["start"] is None or k >= s["start"]) and (s["end"] is None or k < s["end"])
+
+        def transfer(c) -> str:
+            if c["op_id"] in decided:
+                return decided[c["op_id"]]
+            if not s["ready"]:
+                return "uninitialised"
+            if s["frozen"]:
+                return "frozen"
+            if not (inside(c["source"]) and inside(c["target"])) or c["generation"] != s["generation"]:
+                return "wrong_range"
+            have = balance.get(c["source"], s["opening"])
+            if have < c["amount"]:
+                decided[c["op_id"]] = "insufficient_funds"
+            else:
+                balance[c["source"]] = have - c["amount"]
+                balance[c["target"]] = balance.get(c["target"], s["opening"]) + c["amount"]
+                decided[c["op_id"]] = "applied"
+            return decided[c["op_id"]]
+
+        def change(c) -> bool:
+            op, at = c["op"], c["at"]
+            if op == "init" and not s["ready"]:
+                s.update(ready=True, start=at, end=c["end"], opening=c["amount"], generation=max(1, c["generation"]))
+            elif op == "split" and s["ready"] and not s["frozen"] and at is not None and (s["start"] is None or at > s["start"]) and (s["end"] is None or at < s["end"]):
+                s.update(end=at, generation=max(s["generation"], c["generation"]))
+                for k in [k for k in balance if k >= at]:
+                    del balance[k]
+            elif op == "merge" and not s["frozen"] and at == s["end"]:
+                s.update(end=c["end"], generation=max(s["generation"], c["generation"]))
+            elif op == "freeze":
+                s["frozen"] = True
+            elif op == "set_descriptor" and c["generation"] >= s["generation"]:
+                s["generation"] = c["generation"]
+            elif op == "grant_lease" and (c["node"] == s["lease"][0] or c["time"] >= s["lease"][2] + 2 * clock_bound or s["lease"][0] == 0):
+                s["lease"] = (c["node"], c["time"], c["expiry"])
+            else:
+                return False
+            return True
+
+        out = []
+        for c in pdf.sort_values("log_index").to_dict("records"):
+            c = {k: (v if k == "op" else None if pd.isna(v) else int(v)) for k, v in c.items()}
+            for k in ("generation", "node", "time", "expiry", "amount"):
+                c[k] = c[k] or 0
+            out.append((c["range_id"], c["log_index"], c["op"], transfer(c) if c["op"] == "transfer" else "applied" if change(c) else "ignored"))
+        return pd.DataFrame(out, columns=["range_id", "log_index", "op", "outcome"])
+
+    return commands.groupBy("range_id").applyInPandas(fold, "range_id long, log_index long, op string, outcome string")

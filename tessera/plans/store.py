@@ -295,13 +295,48 @@ def misplaced_keys(m: Model) -> DataFrame:
     return topology.keys_outside(held, m.ranges)
 
 
+def _topology_log(m: Model) -> DataFrame:
+    """A made-up log of topology commands, two hundred a group."""
+    e, i = F.col("event_id"), F.col("event_id") % 200
+    op = F.when(i == 0, "bootstrap").otherwise(F.element_at(F.array(*map(F.lit, ("split", "grant_lease", "split", "begin_merge", "grant_lease", "finish_merge", "change_replicas", "report_size", "report_catchup", "node_heartbeat", "abort_merge", "grant_lease"))), (e % 12 + 1).cast("int")))
+    nodes = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: (F.expr("event_id div 36") % 2 + k) % 5 + 1)
+    first = F.array(F.lit(1), F.lit(2), F.lit(3))
+    return m.events.select(
+        F.expr("event_id div 200").alias("group"),
+        e.alias("log_index"),
+        op.alias("op"),
+        (F.col("user_id") % 6 + 1).alias("range_id"),
+        (F.col("user_id") % 7 + 1).alias("other"),
+        F.lit(0).cast("long").alias("generation"),
+        F.col("user_id").alias("at"),
+        F.when(i == 0, first).otherwise(nodes.cast("array<int>")).alias("replicas"),
+        F.array(F.lit(4)).alias("learners"),
+        F.lit(2).cast("long").alias("node"),
+        e.alias("time"),
+        (e + 50).alias("value"),
+    )
+
+
 @query("topology_replay")
 def topology_replay(m: Model) -> DataFrame:
-    op = F.when(F.col("event_id") % 200 == 0, "bootstrap").when(F.col("event_type").isin("click", "view"), "split").when(F.col("event_type") == "error", "merge").otherwise("change_replicas")
-    nodes = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: (F.expr("event_id div 3") % 2 + i) % 5 + 1)
-    first = F.col("event_id") % 200 == 0
-    c = m.events.select(F.expr("event_id div 200").alias("group"), F.col("event_id").alias("log_index"), op.alias("op"), (F.col("event_id") % 4 + 1).alias("range_id"), F.lit(0).cast("long").alias("generation"), F.col("user_id").alias("at"), F.when(first, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(nodes.cast("array<int>")).alias("replicas"))
-    return topology.replay_topology(c)
+    return topology.replay_topology(_topology_log(m))
+
+
+@query("final_topology")
+def final_topology(m: Model) -> DataFrame:
+    return topology.final_topology(_topology_log(m))
+
+
+@query("range_replay")
+def range_replay(m: Model) -> DataFrame:
+    e, i = F.col("event_id"), F.expr("event_id div 25") % 40
+    op = F.when(i == 0, "init").when(i % 13 == 5, "split").when(i % 17 == 9, "grant_lease").when(i == 30, "merge").when(i == 38, "freeze").otherwise("transfer")
+    null = F.lit(None).cast("long")
+    c = m.events.select(
+        (e % 25).alias("range_id"), e.alias("log_index"), op.alias("op"), F.when(i == 0, null).otherwise(F.col("user_id")).alias("at"), null.alias("end"), F.lit(1).cast("long").alias("generation"),
+        (F.col("user_id") % 3 + 1).alias("node"), e.alias("time"), (e + 100).alias("expiry"), (e - F.when(e % 7 == 3, 25).otherwise(0)).alias("op_id"), F.col("user_id").alias("source"), ((F.col("user_id") * 7) % 50).alias("target"), F.when(i == 0, 100).otherwise(e % 90).cast("long").alias("amount"),
+    )
+    return topology.replay_range(c)
 
 
 @query("quorum_commit_index", "with s as (select leader, list_sort(list(match), 'DESC') as m from raft_progress group by leader), j as (select leader, list_sort(list(match) filter (where peer in (1, 3)), 'DESC') as m from raft_progress group by leader) select s.leader, s.m[2] as candidate, least(s.m[2], j.m[2]) as joint from s join j using (leader)")

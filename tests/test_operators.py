@@ -85,23 +85,76 @@ def test_transfers_fold_in_order_and_conserve(spark):
     assert total["before"] == total["after"] == 10
 
 
+def command(log_index, op, range_id=0, other=0, generation=0, at=None, replicas=(), learners=(), node=0, time=0, value=0):
+    return (1, log_index, op, range_id, other, generation, at, list(replicas), list(learners), node, time, value)
+
+
 def test_topology_replay(spark):
     rows = [
-        (1, 1, "split", 1, 0, 50, []),
-        (1, 2, "bootstrap", 0, 0, 0, [1, 2, 3]),
-        (1, 3, "bootstrap", 0, 0, 0, [1, 2, 3]),
-        (1, 4, "split", 1, 1, 50, []),
-        (1, 5, "split", 1, 1, 20, []),
-        (1, 6, "split", 1, 2, 60, []),
-        (1, 7, "change_replicas", 2, 0, 0, [1, 2, 4]),
-        (1, 8, "change_replicas", 2, 0, 0, [5, 6, 7]),
-        (1, 9, "merge", 1, 0, 0, []),
-        (1, 10, "change_replicas", 2, 0, 0, [1, 2, 3]),
-        (1, 11, "merge", 1, 0, 0, []),
+        (False, command(1, "split", 1, at=50)),
+        (True, command(2, "bootstrap", replicas=[3, 1, 2], learners=[4])),
+        (False, command(3, "bootstrap", replicas=[1])),
+        (True, command(4, "split", 1, generation=1, at=50)),
+        (False, command(5, "split", 1, generation=1, at=20)),
+        (False, command(6, "split", 1, generation=2, at=50)),
+        (False, command(7, "begin_merge", 1, 2)),
+        (True, command(8, "grant_lease", 1, node=2, time=10, value=20)),
+        (False, command(9, "grant_lease", 1, node=3, time=9, value=20)),
+        (True, command(10, "grant_lease", 2, node=2, time=10, value=20)),
+        (True, command(11, "begin_merge", 1, 2, generation=2)),
+        (False, command(12, "split", 2, at=70)),
+        (True, command(13, "abort_merge", other=2)),
+        (False, command(14, "finish_merge", 1, 2)),
+        (True, command(15, "change_replicas", 2, replicas=[1, 2, 4])),
+        (False, command(16, "begin_merge", 1, 2)),
+        (False, command(17, "change_replicas", 2, replicas=[5, 6, 7])),
+        (True, command(18, "change_replicas", 2, replicas=[1, 2, 3])),
+        (True, command(19, "report_size", 1, at=25, value=30)),
+        (False, command(20, "report_size", 9)),
+        (True, command(21, "report_catchup", 1, node=4)),
+        (False, command(22, "report_catchup", 1, node=9)),
+        (True, command(23, "node_heartbeat", node=7, time=5)),
+        (True, command(24, "begin_merge", 1, 2)),
+        (True, command(25, "finish_merge", 1, 2)),
+        (True, command(26, "split", 1, at=90)),
+        (True, command(27, "change_replicas", 1, replicas=[1, 3])),
+        (False, command(28, "no_such_thing", 1)),
+    ]
+    df = spark.createDataFrame([r for _, r in rows], topology.COMMAND).repartition(3)
+    assert [a for _, a in values(topology.replay_topology(df), "log_index", "accepted")] == [ok for ok, _ in rows]
+    last = topology.final_topology(df).orderBy("id").collect()
+    assert [(r["id"], r["start"], r["end"], r["frozen"], r["lease_holder"]) for r in last] == [(1, None, 90, False, 0), (3, 90, None, False, 0)]
+    assert last[0]["replicas"] == [1, 3] and last[0]["caught_up"] == [4] and last[0]["n_keys"] == 30
+
+
+def test_range_replay(spark):
+    schema = "range_id long, log_index long, op string, at long, end long, generation long, node long, time long, expiry long, op_id long, source long, target long, amount long"
+    t = lambda i, op_id, a, b, n, g=1: (1, i, "transfer", None, None, g, 0, 0, 0, op_id, a, b, n)
+    c = lambda i, op, at=None, end=None, g=0, node=0, time=0, expiry=0, n=0: (1, i, op, at, end, g, node, time, expiry, None, None, None, n)
+    rows = [
+        ("uninitialised", t(1, 1, 5, 6, 1)),
+        ("applied", c(2, "init", 0, 100, 1, n=10)),
+        ("ignored", c(3, "init", 0, 9, 1, n=10)),
+        ("applied", t(4, 1, 5, 6, 7)),
+        ("insufficient_funds", t(5, 2, 5, 6, 7)),
+        ("applied", t(6, 1, 5, 6, 7)),
+        ("wrong_range", t(7, 3, 5, 100, 1)),
+        ("wrong_range", t(8, 3, 5, 6, 1, g=2)),
+        ("applied", c(9, "split", 50, g=2)),
+        ("wrong_range", t(10, 4, 5, 60, 1, g=2)),
+        ("applied", c(11, "merge", 50, 70, 3)),
+        ("ignored", c(12, "merge", 50, 90, 3)),
+        ("applied", t(13, 4, 6, 60, 17, g=3)),
+        ("applied", c(14, "grant_lease", node=1, time=5, expiry=10)),
+        ("ignored", c(15, "grant_lease", node=2, time=13, expiry=20)),
+        ("applied", c(16, "grant_lease", node=2, time=14, expiry=20)),
+        ("ignored", c(17, "set_descriptor", g=2)),
+        ("applied", c(18, "freeze")),
+        ("frozen", t(19, 9, 5, 6, 1, g=3)),
+        ("insufficient_funds", t(20, 2, 5, 6, 7)),
     ]
-    df = spark.createDataFrame(rows, "group long, log_index long, op string, range_id long, generation long, at long, replicas array<int>")
-    got = dict(values(topology.replay_topology(df), "log_index", "accepted"))
-    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True, 8: False, 9: False, 10: True, 11: True}
+    got = values(topology.replay_range(spark.createDataFrame([r for _, r in rows], schema)), "log_index", "outcome")
+    assert [o for _, o in got] == [o for o, _ in rows]
 
 
 def test_append_batches_cut_conflicts(spark):
