@@ -42,29 +42,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, n
                 yield a + i, np.zeros(0, dtype=np.uint64)
 
 
-def checked_share(n: int) -> float:
-    """The share of the hash space in which a set of n shingles is checked."""
-    return 1.0 if n < 100 else 0.5 if n < 400 else 0.36 if n < 1000 else 0.3
+def spare(n: int) -> int:
+    """Shingles that a set of n tells beyond those that it may miss."""
+    return max(1, n // 8)
 
 
-def emitted(s: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """The shingles of a sorted set that stand for it in the candidate search, and how many of them, from the
-    smallest on, count when the set itself is the larger of a pair, and when a partner is a quarter larger.
+def told(s: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set that stand for it in the candidate search.
 
-    Two sets that link differ in size by a quarter at most, and either misses at most a fifth of itself. Of its hashes below
-    a threshold, then, at most floor(n / 5) are not in the other set. The larger set's size gives a pair's
-    threshold; a set emits what any partner's threshold may ask for.
+    Two sets that link share four fifths of the larger one, so a set of n misses floor(n / 5) at most. Of
+    its floor(n / 5) + spare(n) smallest hashes, then, as many are among its partner's as the smaller of both
+    sets has to spare (the prefix filter in the order of hashes). Either is at most a quarter larger than the other.
     """
-    n = len(s)
-    limit = lambda share: len(s) if share >= 1 else int(np.searchsorted(s, np.uint64(int(share * (1 << 64)))))
-    return s[: max(limit(checked_share(int(0.8 * n))), n // 5 + 1)], limit(checked_share(n)), limit(checked_share(n * 5 // 4))
+    return s[: len(s) // 5 + spare(len(s))]
 
 
 def set_id(s: np.ndarray) -> int | None:
-    """A set's 64-bit name, always a multiple of four; the empty set has none."""
+    """A set's 64-bit name; the empty set has none."""
     if not len(s):
         return None
-    return int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) & ~3
+    return int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
 def squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -209,14 +206,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     PARTS_OF / PARTS are linked; component_id is the smallest key that links reach. Documents of the same set
     (exact copies, whatever their number) go on as one, by a hash of the set, set_id.
 
-    Candidates: each set emits a third or so of its shingles, smallest hashes first (`emitted`);
-    a set whose checked shingles are too rarely those of other sets can link with none and goes. What is
-    left forms clusters over common shingles, of which each set takes its rarest only: as many as it may miss, and one
-    (the prefix filter in order of frequency). Passages that many documents share are among them where nothing rarer is.
+    Candidates: each set tells a third of its shingles, smallest hashes first (`told`);
+    a set of which too few are told by others can link with none and goes. What is left forms clusters
+    over common shingles, of which each set takes the rarest only, as many as must hold a common one (the prefix
+    filter again, in the order of frequency). Passages that many documents share are among them where nothing rarer is.
     In a cluster, sets meet in signature trees. A cluster of over BLOCK sets meets block by block, its first
     set visiting each block; then sets not connected with that one meet all the others, again by blocks. Links that
-    trees find make the components. All this is exact but for hashes: 64 bits of a shingle, and thresholds that leave a set fewer
-    hashes than it may miss, with a chance under 1e-9 a set.
+    trees find make the components. All this is exact but for the 64 bits of hashes.
     n_links counts those links, a spanning set; it is 0 for a set that links with no other. component tells
     components apart where keys repeat.
     """
@@ -226,43 +222,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column(1))
-        n, ids, check, larger = [], [], [], []
+        n, ids = [], []
         for _, s in shingle_sets(data, offsets):
-            _, c, d = emitted(s)
-            n.append(len(s)), ids.append(set_id(s)), check.append(c), larger.append(d)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(larger, pa.int64()), batch.column(2)], names=["k", "n", "sid", "checked", "larger", "th"])
+            n.append(len(s)), ids.append(set_id(s))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2)], names=["k", "n", "sid", "th"])
 
     def speak(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tags, sent, seen = [], [], set()
+        ids, sent, seen = [], [], set()
         for _, s in shingle_sets(*text_bytes(batch.column(0))):
             sid = set_id(s)
             # a copy within the batch need not speak again
             if sid is not None and sid not in seen:
                 seen.add(sid)
-                out, c, d = emitted(s)
-                at = np.arange(len(out))
-                tags.append(sid + (at < c) + 2 * (at < d))
+                out = told(s)
+                ids.append(np.full(len(out), sid, dtype=np.int64))
                 sent.append(out.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (sent, tags)], names=["h", "tag"])
-
-    # the texts are signed twice: that costs less than keeping what they emit
-    sets = stored(map_batches(rows, sign, f"k {kind}, n long, sid long, checked long, larger long, th long"))
-    spoken = map_batches(rows.select("t"), speak, "h long, tag long")
-
-    # shingles that more than one set has, once for each set; a tag is the set with two marks as its last bits
-    by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("tag")
-    new = F.col("prev").isNull() | (F.col("prev") != F.col("tag"))
-    spoken = spoken.withColumn("prev", F.lag("tag").over(ordered)).withColumn("df", F.sum(new.cast("int")).over(by_hash)).where(new & (F.col("df") > 1))
-    common = stored(spoken.select("h", F.col("tag").bitwiseAND(~3).alias("sid"), F.col("tag").bitwiseAND(1).cast("int").alias("on"), F.shiftright(F.col("tag").bitwiseAND(2), 1).cast("int").alias("far"), F.col("df").cast("int").alias("df")))
-    heard = common.groupBy("sid").agg(F.sum("on").alias("shared"), F.sum("far").alias("shared_far"))
-    known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("checked").alias("checked"), F.first("larger").alias("larger"), F.min(F.struct("k", "th")).alias("row"))
-    miss = F.floor(F.col("n") / 5)
-    alive = heard.join(known, "sid").where(F.col("shared") >= F.col("checked") - miss)
-    # shingles of one set only come first in the order of frequency, and need no row
-    alive = stored(alive.select("sid", "row.k", "row.th", (miss + 1 - F.col("checked") + F.col("shared")).alias("own"), (miss + 1 - F.col("larger") + F.col("shared_far")).alias("wide")))
-    rare = Window.partitionBy("sid").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0)
-    near = common.join(alive.select("sid", "own", "wide"), "sid").withColumns({"i": F.sum("on").over(rare), "j": F.sum("far").over(rare)})
-    near = near.where("(on = 1 and i <= own) or (far = 1 and j <= wide)").select("h", "sid")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (sent, ids)], names=["h", "sid"])
+
+    # the texts are signed twice: that costs less than keeping what they tell
+    sets = stored(map_batches(rows, sign, f"k {kind}, n long, sid long, th long"))
+    spoken = map_batches(rows.select("t"), speak, "h long, sid long")
+
+    # shingles that more than one set tells, once for each set
+    by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("sid")
+    new = F.col("prev").isNull() | (F.col("prev") != F.col("sid"))
+    spoken = spoken.withColumn("prev", F.lag("sid").over(ordered)).withColumn("df", F.sum(new.cast("int")).over(by_hash)).where(new & (F.col("df") > 1))
+    common = stored(spoken.select("h", "sid", F.col("df").cast("int").alias("df")))
+    heard = common.groupBy("sid").agg(F.count("*").alias("shared"))
+    known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("k", "th")).alias("row"))
+    # the smallest partner's spare shingles are shared at least; of those shared, the rarest suffice that
+    # leave out one fewer. Shingles of one set only would come before them, and need no row
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 8))
+    alive = stored(heard.join(known, "sid").where(F.col("shared") >= least).select("sid", "row.k", "row.th", (F.col("shared") - least + 1).alias("rare")))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("df", "h"))
+    near = common.join(alive.select("sid", "rare"), "sid").withColumn("i", rank).where("i <= rare").select("h", "sid")
     star = near.withColumn("u", F.min("sid").over(Window.partitionBy("h"))).where("u <> sid").select(F.col("u").alias("a"), F.col("sid").alias("b")).distinct()
     cluster = components(star)
     size = cluster.groupBy("root").agg(F.count("*").alias("members"))
