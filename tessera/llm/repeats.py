@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, release_memory, row_slices, stored, table, text_bytes
@@ -204,15 +204,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.int32()), pa.array(g.view(np.int64)), pa.array(h.view(np.int64))], names=["dk", "s", "n", "d", "g", "h"])
 
     found = map_batches(rows.select("dk", F.col("t").cast("binary")), runs, "dk long, s int, n int, d int, g long, h long")
-    by, ordered = Window.partitionBy("g"), Window.partitionBy("g").orderBy("h", "dk", "s")
-    met = found.withColumns({"lo": F.min("h").over(ordered), "prev": F.lag("h").over(ordered), "next": F.lead("h").over(ordered), "hi": F.max("h").over(by), "many": F.count("*").over(by)})
-    same = lambda x: F.coalesce(F.col(x) == F.col("h"), F.lit(False))
-    hits = met.where("many > 1").select("dk", "s", "n", "d", "g", "h", (same("prev") | same("next")).alias("twin"), (F.col("lo") != F.col("hi")).alias("differ"), (~same("prev")).alias("first"))
+    # each step either aggregates inside tasks first or is a join whose large partitions Spark can split, so
+    # that a passage of very many rows is nobody's task
+    often = found.groupBy("g").agg(F.count("*").alias("many")).where("many > 1").select("g")
+    shared = stored(found.join(often, "g", "left_semi"))
+    kinds = shared.groupBy("g", "h").agg(F.count("*").alias("copies"), F.min(F.struct("dk", "s")).alias("one"))
+    sorts = kinds.groupBy("g").agg(F.count("*").alias("sorts"))
+    info = kinds.join(sorts, "g").select("g", "h", (F.col("copies") > 1).alias("twin"), "sorts", "one")
+    hits = shared.join(info, ["g", "h"]).select("dk", "s", "n", "d", "g", "h", "twin", "sorts", (F.struct("dk", "s") == F.col("one")).alias("first"))
     hits = stored(hits)
 
-    speak = hits.where("differ and first")
-    hot = speak.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("g", F.lit(True).alias("hot"))
-    speak = speak.join(hot, "g", "left").groupBy("dk").agg(F.collect_list(F.struct("s", "n", "d", "g", "h", "twin", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("r"))
+    speak = hits.where("sorts > 1 and first").groupBy("dk").agg(F.collect_list(F.struct("s", "n", "d", "g", "h", "twin", (F.col("sorts") > HOT).alias("hot"))).alias("r"))
     texts = _packed(rows, [])
     joined = texts.join(speak, "dk").select("dk", "z", "r")
 
