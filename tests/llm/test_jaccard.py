@@ -103,3 +103,11 @@ def test_representatives(spark, docs, corpus, empty):
         assert 100 * len(a & b) < 80 * len(a | b)
     assert len([s for s in sets if s]) == len({c for k, n, c in brute([(i, r[1]) for i, r in enumerate(corpus)]) if n})
     assert jaccard.representatives(empty).count() == 0 and jaccard.near_duplicates(empty).count() == 0
+
+
+def test_filter_passes_all_that_is_wanted(spark):
+    rows = spark.range(3000).selectExpr("id as k", "id * 7 as th")
+    wanted = spark.range(0, 3000, 9).selectExpr("id * 7 as mh")
+    got = {r["k"] for r in jaccard.possibly_in(rows, "th", wanted, "mh").collect()}
+    assert {*range(0, 3000, 9)} <= got and len(got) < 350
+    assert jaccard.possibly_in(rows, "th", wanted.where("false"), "mh").count() == 0
