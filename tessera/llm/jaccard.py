@@ -17,6 +17,8 @@ WORDS = 5
 PARTS_OF, PARTS = 80, 100
 #: Distinct sets of a candidate cluster that meet in one task; a larger cluster meets block by block.
 BLOCK = 2048
+#: Bits of the filter that texts pass before they are joined.
+FILTER_BITS = 1 << 25
 #: Bits of a signature, sets in a leaf, children of a node.
 BITS, LEAF, FAN = 1024, 8, 8
 
@@ -64,6 +66,18 @@ def set_id(s: np.ndarray) -> int | None:
     return int(mixed((mixed(s) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
+def possibly_in(rows: DataFrame, a: str, wanted: DataFrame, b: str) -> DataFrame:
+    """Rows whose column a may be among b of `wanted`: all that are, and few others, before a join shuffles them.
+
+    One bit a hash, FILTER_BITS in all: the broadcast has that size however many rows are wanted; if they fill it, all rows pass.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = wanted.select(bit(b).alias("bit")).select(F.shiftright("bit", 15).alias("__map"), F.col("bit").bitwiseAND(32767).alias("at")).groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    own = rows.withColumn("__bit", bit(a)).withColumn("__map", F.shiftright("__bit", 15)).join(F.broadcast(maps), "__map")
+    byte = F.expr("cast(conv(hex(substring(__bits, cast((__bit & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
+    return own.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0).select(rows.columns)
+
+
 def squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Rows (k, t, th) with the text compressed for the shuffle."""
     import zstandard as zstd
@@ -265,7 +279,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = stored(member.select("sid", F.col("k").alias("mk"), F.col("th").alias("mh"), "cluster", "first", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
 
     # the sets themselves
-    packed = map_batches(rows, squeezed, f"k {kind}, z binary, th long")
+    packed = map_batches(possibly_in(rows, "th", member, "mh"), squeezed, f"k {kind}, z binary, th long")
     body = packed.join(member, (F.col("th") == F.col("mh")) & F.col("k").eqNullSafe(F.col("mk"))).select("sid", "cluster", "first", "blocks", "block", "z")
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
