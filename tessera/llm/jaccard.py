@@ -189,13 +189,11 @@ def dual_join(left: list[np.ndarray], right: list[np.ndarray] | None, labels: li
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that edges reach from each node of a table of edges.
 
-    Large-star and small-star steps in turn until none changes a label; every step is a written table, so an executor that
-    is lost costs one step. Nothing but the count of changed rows comes to the driver.
+    Large-star and small-star steps in turn until every edge joins a node with its root; every step is a written
+    table, so an executor that is lost costs one step. Nothing but whether that is so comes to the driver.
     """
-    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-    pairs = stored(pairs)
-    before = None
-    while True:
+    pairs = stored(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
+    while not _is_star(pairs):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours go to the smallest
@@ -204,12 +202,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low2 = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low2, "x").select(F.explode(F.array(F.struct(F.col("y").alias("v"), F.col("m").alias("u")), F.struct(F.col("x").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         pairs = stored(small)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    root = pairs.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
-    return root.union(pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
+    return pairs.select(F.col("v").alias("node"), F.col("u").alias("root")).union(pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
+def _is_star(pairs: DataFrame) -> bool:
+    """Whether no node is the larger end of two edges, or of one and the smaller end of another."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("u").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
