@@ -148,13 +148,22 @@ def wait_die_violations(waits: DataFrame, txns: DataFrame) -> DataFrame:
     return waits.join(w, "waiter").join(b, "blocker").where(is_older(F.col("w_ts"), F.col("waiter"), F.col("b_ts"), F.col("blocker"))).select("waiter", "blocker")
 
 
-def wait_cycles(waits: DataFrame, hops: int) -> DataFrame:
-    """(waiter, cycle_length): waiters whose chain of blockers comes back to them within `hops` hops.
+def wait_cycles(waits: DataFrame) -> DataFrame:
+    """(waiter, cycle_length): waiters whose chain of blockers comes back to them, after however many hops.
 
-    Each waiter waits for one other, so a chain is a walk; it advances one equi-join a hop.
+    Each waiter waits for one other. Pointer doubling: every round is one equi-join that doubles all walks, and those
+    that reach somebody who doesn't wait end. After as many hops as there are waiters, walks end at exactly the members
+    of cycles; a member's walk has been all around by then, so its smallest waiter names the cycle.
     """
-    step = waits.select(F.col("waiter").alias("__w"), F.col("blocker").alias("__b"))
-    walk = waits.select("waiter", F.col("blocker").alias("at"), F.lit(1).alias("n"), F.when(F.col("waiter") == F.col("blocker"), F.lit(1)).alias("cycle_length"))
-    for _ in range(hops - 1):
-        walk = walk.join(step, F.col("at") == F.col("__w"), "left").select("waiter", F.col("__b").alias("at"), (F.col("n") + 1).alias("n"), F.coalesce("cycle_length", F.when(F.col("waiter") == F.col("__b"), F.col("n") + 1)).alias("cycle_length"))
-    return walk.where("cycle_length is not null").select("waiter", F.col("cycle_length").cast("long"))
+    from tessera.sources.files import written
+
+    at = written(waits.select("waiter", F.col("blocker").alias("at"), F.col("waiter").alias("least")).distinct())
+    n, hops = at.count(), 1
+    while hops < n:
+        nxt = at.select(F.col("waiter").alias("at"), F.col("at").alias("at2"), F.col("least").alias("more"))
+        at = written(at.join(nxt, "at").select("waiter", F.col("at2").alias("at"), F.least("least", "more").alias("least")))
+        if at.isEmpty():
+            break
+        hops *= 2
+    members = at.join(at.select("at").distinct().withColumnRenamed("at", "waiter"), "waiter").select("waiter", "least")
+    return members.join(members.groupBy("least").agg(F.count("*").alias("cycle_length")), "least").select("waiter", "cycle_length")

@@ -214,7 +214,7 @@ def lock_outcomes(m: Model) -> DataFrame:
 select waiter, min(n)::bigint as cycle_length from walk where here = waiter group by waiter""",
 )
 def lock_wait_cycles(m: Model) -> DataFrame:
-    return versions.wait_cycles(m.waits, 12)
+    return versions.wait_cycles(m.waits)
 
 
 @query("route_keys", "select key, range_id, generation from routed")

@@ -53,6 +53,16 @@ def test_locks(spark):
     assert got == {1: "granted", 2: "already_held", 3: "wound", 4: "wait", 5: "granted", 6: "granted"}
 
 
+def test_wait_cycles_of_any_length(spark):
+    ring = [(i, (i + 1) % 41) for i in range(41)]
+    tail = [(100, 101), (101, 7), (200, 201), (201, 202), (300, 300), (400, 401), (401, 400), (402, 400)]
+    got = dict(values(versions.wait_cycles(spark.createDataFrame(ring + tail, "waiter long, blocker long")), "waiter", "cycle_length"))
+    assert got == {i: 41 for i in range(41)} | {300: 1, 400: 2, 401: 2}
+    assert versions.wait_cycles(spark.createDataFrame(tail[:4], "waiter long, blocker long")).count() == 0
+    assert versions.wait_cycles(spark.createDataFrame([(1, 1)], "waiter long, blocker long")).count() == 1
+    assert versions.wait_cycles(spark.createDataFrame([], "waiter long, blocker long")).count() == 0
+
+
 def test_record_lattice(spark):
     w = [
         (1, 7, 0, "pending", 0, 1, 0, [1]),
