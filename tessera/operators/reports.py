@@ -56,12 +56,13 @@ def ledger_tally(entries: DataFrame, checks: DataFrame) -> DataFrame:
 
 def minimal_sets(failing: DataFrame) -> DataFrame:
     """Failing feature sets (set_id, features) none of whose proper subsets fails too."""
-    a = failing.select("set_id", "features")
-    b = failing.select(F.col("features").alias("sub"))
+    a = failing.select(F.array_sort("features").alias("features")).distinct()
+    b = a.select(F.col("features").alias("sub"))
     smaller = (F.size("sub") < F.size("features")) & (F.size(F.array_except("sub", "features")) == 0)
-    lead = a.select("set_id", "features", F.explode("features").alias("f")).join(b.select("sub", F.explode("sub").alias("f")), "f").where(smaller).select("set_id").distinct()
+    # equal sets have the same answer, so each is compared once
+    lead = a.select("features", F.explode("features").alias("f")).join(b.select("sub", F.explode("sub").alias("f")), "f").where(smaller).select(F.col("features").alias("larger")).distinct()
     empty = failing.where("size(features) = 0").limit(1).select(F.lit(True).alias("none"))
-    out = a.join(lead, "set_id", "left_anti").join(F.broadcast(empty), F.lit(True), "left")
+    out = failing.select("set_id", "features").join(lead, F.array_sort("features") == F.col("larger"), "left_anti").join(F.broadcast(empty), F.lit(True), "left")
     return out.where("none is null or size(features) = 0").drop("none")
 
 

@@ -246,7 +246,7 @@ def ledger_tally(m: Model) -> DataFrame:
 select set_id, array_to_string(features, ',') as features from f a where not exists (select 1 from f b where len(b.features) < len(a.features) and list_has_all(a.features, b.features))""",
 )
 def minimal_fault_sets(m: Model) -> DataFrame:
-    f = m.events.where("event_id % 3 = 0 and event_id < 3000").groupBy(F.col("user_id").alias("set_id")).agg(F.array_sort(F.collect_set(F.col("event_id") % 11)).alias("features"))
+    f = m.events.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("set_id")).agg(F.array_sort(F.collect_set(F.col("event_id") % 11)).alias("features"))
     return reports.minimal_sets(f).select("set_id", F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
 
 
