@@ -198,7 +198,7 @@ def commit_all(m: Model) -> DataFrame:
 
 @query("put_intents", "with q as (select event_id as log_index, user_id as key, 2000000 + event_id % 9 as txn from events where event_id < 2000), f as (select q.*, first_value(q.txn) over (partition by q.key order by log_index) as first, i.txn as holder from q left join intents i on q.key = i.key) select log_index, key, txn, coalesce(holder, first) = txn as ok from f")
 def put_intents(m: Model) -> DataFrame:
-    q = m.events.where("event_id < 2000").select(F.col("event_id").alias("log_index"), F.col("user_id").alias("key"), (F.lit(2000000) + F.col("event_id") % 9).alias("txn"))
+    q = m.events.select(F.col("event_id").alias("log_index"), F.col("user_id").alias("key"), (F.lit(2000000) + F.col("event_id") % 9).alias("txn"))
     return versions.put_intents(q, m.intents)
 
 

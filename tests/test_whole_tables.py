@@ -23,3 +23,10 @@ def test_minimal_fault_sets_of_all_failing_events(spark, events):
     want = {u: ",".join(map(str, sorted(s))) for u, s in sets.items() if not any(t < s for t in sets.values())}
     got = {r["set_id"]: r["features"] for r in catalog.QUERIES["minimal_fault_sets"](spark, SF).collect()}
     assert got == want
+
+
+def test_put_intents_answers_all_requests(spark, events):
+    holder = {u: u + 1000000 for _, u in events if u % 5 == 0}
+    want = {e: holder.setdefault(u, 2000000 + e % 9) == 2000000 + e % 9 for e, u in events}
+    got = {r["log_index"]: r["ok"] for r in catalog.QUERIES["put_intents"](spark, SF).collect()}
+    assert got == want
