@@ -13,6 +13,8 @@ ANGLED = r"\|im_start\|>|\|im_end\|>|\|nl\|>|\|endoftext\|>|/?s>|</?SYS>>"
 SQUARED = r"/?INST\]"
 #: Positions of a conversation that are joined before the conversation is.
 SEGMENT = 256
+#: Characters of a block in which a loss span is looked up.
+BLOCK = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -75,6 +77,18 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(unescaped(F.replace(role(p), F.lit(BREAK), F.lit("\n"))).alias("role"), unescaped(F.substr(p, F.length(role(p)) + 2, F.lit(2147483647))).alias("text")))
 
 
+def masked(formatted: Column, loss_spans: Column) -> Column:
+    """The texts under the loss mask, unescaped: an array in the order of the spans.
+
+    A string's substring is found by counting from its start, so it is cut into blocks once and spans count in theirs.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(formatted) / BLOCK).cast("int")), lambda k: F.substr(formatted, k * BLOCK + 1, F.lit(BLOCK)))
+    at = lambda x: F.floor(x / BLOCK).cast("int")
+    piece = lambda b, s: F.substr(F.array_join(F.slice(b, at(s["start"]) + 1, at(s["end"]) - at(s["start"]) + 1), ""), (s["start"] % BLOCK + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    # an array of the one list, so that the blocks are made once for all spans
+    return F.transform(F.array(blocks), lambda b: F.transform(loss_spans, lambda s: unescaped(piece(b, s))))[0]
+
+
 def conversation_events(rows: DataFrame) -> DataFrame:
     """An event log that ends in the given rows (conv_id, turn, role, text), one message a row.
 
@@ -103,9 +117,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.sql(f"select cast(-1 as bigint) as conv_id, cast(turn as bigint) as turn, role, '{SMUGGLED}' as text from values (0, 'user'), (1, 'assistant') as v(turn, role)")
     out = render(fold_events(conversation_events(rows.unionByName(extra))))
-    turns = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    turns = out.select("conv_id", "formatted", "loss_spans", read_back(F.col("formatted")).alias("turns"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "")
     read = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 

@@ -42,6 +42,16 @@ def test_rendering_reads_back(spark):
             assert part.count(chat.OPEN) == 1 and "[INST]" not in part and "</s>" not in part
 
 
+def test_loss_is_cut_by_the_mask(spark, monkeypatch):
+    rows = [(1, t, "assistant" if t % 2 else "user", ODD[t % len(ODD)] * (1 + t * 7)) for t in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.fold_events(chat.conversation_events(df)))
+    assert out.select(chat.masked(F.col("formatted"), F.col("loss_spans")).alias("m")).first()["m"] == [x for _, t, _, x in rows if t % 2]
+    render = chat.render
+    monkeypatch.setattr(chat, "render", lambda m: render(m).withColumn("loss_spans", F.slice("loss_spans", 1, 0)))
+    assert {r["loss_chars"] for r in chat.op8_chat(spark, "/root/testdata/sf0.001").collect()} == {0}
+
+
 def _unescape(s):
     out, i = [], 0
     while i < len(s):
