@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -42,20 +43,37 @@ def test_repeated_long_rows_are_counted(spark):
     assert tokens.bpe_encode(df.where("false"), PATH, P.PATTERN).count() == 0
 
 
-def word_ids(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    return Tokenizer.from_file(WORDS)
+
+
+def word_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
 def test_word_ids_equal_the_tokenizers(corpus):
     rng = random.Random(1)
     odd = ["", None, "Don't STOP. it's, ok..", "naïve Ünï ß İstanbul ΣΑΣ", "<|endoftext|> x <|ENDOFTEXT|>", "a\tb\r\nc d e", "1234 5.6, 7,. ,x", "é ́x", "x\x01y \x01", "ſ K"]
     odd += ["".join(rng.choice("ab.,'! \n\tÀé<|>5") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyzßàáéèïñóöøùûüýþÿÀÉÖÞ×÷"
+    odd += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(50)) for _ in range(100)]
+    odd += ["a" * 5000, "ß" * 25, "Straße. MASSE, ÿ ÷ × ÿß", "foo%%% $$$ a1b22 x" * 30]
     texts = odd + [r[1] for r in corpus]
-    got = packing.WordIds(WORDS)(texts)
-    for t, raw in zip(texts, got):
-        assert np.frombuffer(raw, dtype="<u4").tolist() + [packing.END_ID] == word_ids(t), repr(t)[:80]
+    ids = packing.WordIds(WORDS)
+    for _ in range(2):  # the second time from the table
+        for t, raw in zip(texts, ids(texts)):
+            assert np.frombuffer(raw, dtype="<u4").tolist() + [packing.END_ID] == word_ids(t), repr(t)[:80]
+
+
+def test_a_full_table_gives_the_same_ids(corpus, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_BITS", 4)
+    monkeypatch.setattr(packing, "SLOTS", 16)
+    ids = packing.WordIds(WORDS)
+    for r in corpus:
+        assert np.frombuffer(ids([r[1]])[0], dtype="<u4").tolist() + [packing.END_ID] == word_ids(r[1])
 
 
 def test_packing_is_gapless_and_whole(spark, docs, corpus, empty):
