@@ -20,8 +20,13 @@ GRAM = 64
 SPREAD = LENGTH - GRAM
 #: A row of more bytes is looked through in stretches.
 SLICE_BYTES = 1 << 19
-#: Contexts of a shard, of a merge, and of a gram that are refined in one task.
+#: Contexts of a shard, of a merge, and kinds of a gram that are refined in one task.
 SHARD, MERGE, HOT = 8192, 1 << 15, 1 << 15
+#: Distances from the gram that parts of a larger gram's contexts have, one width after another; the last must be 1.
+WIDTHS = (16, 1)
+#: Columns of contexts: row, start, gram's distance, gram, hash of the bytes, whether they count twice, bytes; of parts, the context's gram and hash, and the place in it, too.
+_CONTEXT = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+_PART = (*_CONTEXT, pa.int64(), pa.int64(), pa.int32())
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -171,6 +176,10 @@ def _stretches(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), len(p)) for p in np.split(starts, cut)]
 
 
+def _hash64(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+
 def _packed(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Rows (keep, dk, t) with their texts compressed for the shuffle, as z."""
     kinds = dict(rows.dtypes)
@@ -188,11 +197,11 @@ def _packed(rows: DataFrame, keep: list[str]) -> DataFrame:
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(dk, cover) for rows (dk, t): runs of repeated starts (s, n) of each row that has any.
 
-    Every LENGTH-byte string of every row takes part. Strings meet by their smallest gram; runs whose gram
-    is nowhere else are done, and so are runs whose bytes occur again as a whole. What is left, contexts
-    of a common gram that differ somewhere, is refined by merged transforms in the task of the gram. A gram
-    with over HOT such contexts would not fit one task: its strings are counted by 128-bit hash
-    over all tasks instead, which gives the same result.
+    Every LENGTH-byte string of every row takes part. Strings meet by their smallest gram, and a run whose gram is nowhere
+    else has none that occurs again. Of all other runs, those of the same bytes are one kind; the first and the last of a
+    kind bring their bytes, and the merged transforms of a gram's contexts decide which strings occur twice, within a kind or
+    between kinds. A gram of over HOT kinds would not fit one task: its contexts are cut by `narrower`, which loses nothing, until all
+    groups fit, and merged in the same way. What is decided for a kind holds for all its runs, however many.
     """
 
     def runs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -204,37 +213,46 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(d, pa.int32()), pa.array(g.view(np.int64)), pa.array(h.view(np.int64))], names=["dk", "s", "n", "d", "g", "h"])
 
     found = map_batches(rows.select("dk", F.col("t").cast("binary")), runs, "dk long, s int, n int, d int, g long, h long")
-    # each step either aggregates inside tasks first or is a join whose large partitions Spark can split, so
-    # that a passage of very many rows is nobody's task
-    often = found.groupBy("g").agg(F.count("*").alias("many")).where("many > 1").select("g")
+    # each step either aggregates inside tasks first or joins with a written table, so that both sides are plain
+    # shuffles and Spark can split the large partitions: a passage of very many rows is nobody's task
+    often = stored(found.groupBy("g").agg(F.count("*").alias("many")).where("many > 1").select("g"))
     shared = stored(found.join(often, "g", "left_semi"))
-    kinds = shared.groupBy("g", "h").agg(F.count("*").alias("copies"), F.min(F.struct("dk", "s")).alias("one"))
-    sorts = kinds.groupBy("g").agg(F.count("*").alias("sorts"))
-    info = kinds.join(sorts, "g").select("g", "h", (F.col("copies") > 1).alias("twin"), "sorts", "one")
-    hits = shared.join(info, ["g", "h"]).select("dk", "s", "n", "d", "g", "h", "twin", "sorts", (F.struct("dk", "s") == F.col("one")).alias("first"))
-    hits = stored(hits)
-
-    speak = hits.where("sorts > 1 and first").groupBy("dk").agg(F.collect_list(F.struct("s", "n", "d", "g", "h", "twin", (F.col("sorts") > HOT).alias("hot"))).alias("r"))
-    texts = _packed(rows, [])
-    joined = texts.join(speak, "dk").select("dk", "z", "r")
+    run = F.struct("dk", "s", "n", "d")
+    kinds = stored(shared.groupBy("g", "h").agg(F.min(run).alias("one"), F.max(run).alias("two"), (F.count("*") > 1).alias("twice")))
+    large = stored(kinds.groupBy("g").agg(F.count("*").alias("sorts")).where(F.col("sorts") > HOT).select("g"))
+    # a kind whose first and last run are in wholly equal rows brings its bytes once, and they count twice
+    two = F.when(F.col("twice") & (F.col("one") != F.col("two")), F.array("one", "two")).otherwise(F.array("one"))
+    speak = kinds.select("g", "h", (F.col("twice") & (F.col("one") == F.col("two"))).alias("twice"), F.explode(two).alias("r")).select("r.*", "g", "h", "twice")
+    speak = stored(speak.groupBy("dk").agg(F.collect_list(F.struct("s", "n", "d", "g", "h", "twice")).alias("r")))
+    joined = _packed(rows, []).join(speak, "dk").select("dk", "z", "r")
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard as zstd
 
         out = zstd.ZstdDecompressor()
-        cols: dict[str, list] = {k: [] for k in ("dk", "s", "n", "d", "g", "h", "twin", "hot", "c")}
+        cols: dict[str, list] = {k: [] for k in ("dk", "s", "d", "g", "h", "twice", "c")}
         for dk, z, rs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             t = out.decompress(z)
             for r in rs:
-                for k in ("s", "n", "d", "g", "h", "twin", "hot"):
+                for k in ("s", "d", "g", "h", "twice"):
                     cols[k].append(r[k])
                 cols["dk"].append(dk)
                 cols["c"].append(t[r["s"] : r["s"] + r["n"] + LENGTH - 1])
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], names=list(cols))
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), _CONTEXT, strict=True)], names=list(cols))
+
+    context = map_batches(joined, contexts, "dk long, s int, d int, g long, h long, twice boolean, c binary")
+    if large.isEmpty():
+        decided = _merged(context)
+    else:
+        context = stored(context)
+        decided = _merged(context.join(large, "g", "left_anti")).unionByName(_merged_by_parts(context.join(large, "g", "left_semi")))
+    decided = stored(decided)
+    cover = shared.join(decided, ["g", "h"]).select("dk", (F.col("s") + F.col("a")).alias("s"), F.col("k").alias("n"))
+    return cover.groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("s", "n"))).alias("cover"))
 
-    context = map_batches(joined, contexts, "dk long, s int, n int, d int, g long, h long, twin boolean, hot boolean, c binary")
-    context = stored(context)
+
+def _merged(context: DataFrame) -> DataFrame:
+    """(g, h, a, k): of each kind of context (dk, s, d, g, h, twice, c), runs of repeated starts, counted from its first byte."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups, about MERGE contexts at a time; rows come sorted by gram."""
@@ -242,16 +260,18 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
         def done(rows_: list[dict]) -> pa.RecordBatch | None:
             # equal rows of the input bring a context more than once
-            once = list({(r["g"], r["h"]): r for r in rows_}.values())
-            starts = repeated_starts(np.array([r["g"] for r in once]), np.array([r["d"] for r in once]), [r["c"] for r in once])
-            cols: list[list[int]] = [[], [], []]
-            for r, x in zip(once, starts, strict=True):
-                if not r["twin"]:
-                    for a, k in _stretches(x):
-                        cols[0].append(r["dk"]), cols[1].append(r["s"] + a), cols[2].append(k)
-            if cols[0]:
-                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["dk", "s", "n"])
-            return None
+            each = {(r["g"], r["h"], r["dk"], r["s"]): r for r in rows_}.values()
+            each = [r for r in each for _ in range(1 + r["twice"])]
+            # grams are told apart by their bytes too
+            name: dict[tuple[int, bytes], int] = {}
+            group = np.array([name.setdefault((r["g"], r["c"][r["d"] : r["d"] + GRAM]), len(name)) for r in each])
+            starts = repeated_starts(group, np.array([r["d"] for r in each]), [r["c"] for r in each])
+            cols: list[list[int]] = [[], [], [], []]
+            for (g, h), x in {(r["g"], r["h"]): x for r, x in zip(each, starts, strict=True)}.items():
+                for a, k in _stretches(x):
+                    for col, v in zip(cols, (g, h, a, k), strict=True):
+                        col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["g", "h", "a", "k"]) if cols[0] else None
 
         for batch in batches:
             held += batch.to_pylist()
@@ -267,22 +287,51 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         del out
         release_memory()
 
-    cold = context.where("not hot").select("dk", "s", "d", "g", "h", "twin", "c").repartition("g").sortWithinPartitions("g")
-    merged = cold.mapInArrow(merge, "dk long, s int, n int")
-
-    def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[], [], [], [], []]
-        for r in batch.to_pylist():
-            for j in range(r["n"]):
-                x = hashlib.blake2b(r["c"][j : j + LENGTH], digest_size=16).digest()
-                cols[0].append(r["dk"]), cols[1].append(r["s"] + j), cols[2].append(r["twin"]), cols[3].append(int.from_bytes(x[:8], "little", signed=True)), cols[4].append(int.from_bytes(x[8:], "little", signed=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["dk", "s", "twin", "x", "y"])
-
-    each = map_batches(context.where("hot").dropDuplicates(["g", "h"]).select("dk", "s", "n", "twin", "c"), strings, "dk long, s int, twin boolean, x long, y long")
-    often = each.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
-    counted = each.join(often, ["x", "y"]).where("not twin").select("dk", "s", F.lit(1).alias("n"))
-    cover = hits.where("twin").select("dk", "s", "n").union(merged).union(counted)
-    return cover.groupBy("dk").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("cover"))
+    ordered = context.select("dk", "s", "d", "g", "h", "twice", "c").repartition("g").sortWithinPartitions("g")
+    return ordered.mapInArrow(merge, "g long, h long, a int, k int")
+
+
+def narrower(c: bytes, d: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first start, how many, core) of parts of a context whose gram is `d` bytes in: starts by distance from the gram, `width` distances each.
+
+    All strings of such a part hold its core, the bytes from the last to begin up to the first to end. Equal strings have the same
+    distance and so the same core: they meet in the same part.
+    """
+    last = d - (len(c) - LENGTH)
+    for low in range(last // width * width, d + 1, width):
+        first, to = d - min(d, low + width - 1), d - max(last, low)
+        yield first, to - first + 1, c[d - low : d - low - width + 1 + LENGTH]
+
+
+def _merged_by_parts(context: DataFrame) -> DataFrame:
+    """_merged for grams of too many kinds: parts of contexts are grouped by their cores, narrow ones first, then by single strings.
+
+    A group of single strings has one kind, so no group is left that is too large.
+    """
+    out, rest = None, context.select("dk", "s", "d", "g", "h", "twice", "c", F.col("g").alias("g0"), F.col("h").alias("h0"), F.lit(0).alias("a0"))
+    for width in WIDTHS:
+
+        def parts(batch: pa.RecordBatch, width: int = width) -> pa.RecordBatch:
+            cols: list[list] = [[] for _ in _PART]
+            for r in batch.to_pylist():
+                for a, n, core in narrower(r["c"], r["d"], width):
+                    c = r["c"][a : a + n + LENGTH - 1]
+                    # equal cores at other distances stay apart
+                    g = _hash64(core + ((r["d"] - a) // width).to_bytes(4, "little"))
+                    for col, v in zip(cols, (r["dk"], r["s"] + a, r["d"] - a, g, _hash64(c), r["twice"], c, r["g0"], r["h0"], r["a0"] + a), strict=True):
+                        col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, _PART, strict=True)], names=["dk", "s", "d", "g", "h", "twice", "c", "g0", "h0", "a0"])
+
+        part = stored(map_batches(rest, parts, "dk long, s int, d int, g long, h long, twice boolean, c binary, g0 long, h0 long, a0 int"))
+        run = F.struct("dk", "s")
+        kinds = stored(part.groupBy("g", "h").agg(F.min(run).alias("one"), F.max(run).alias("two")))
+        large = stored(kinds.groupBy("g").agg(F.count("*").alias("sorts")).where(F.col("sorts") > HOT).select("g"))
+        speak = kinds.join(large, "g", "left_anti").select("g", "h", F.explode(F.array_distinct(F.array("one", "two"))).alias("r")).select("g", "h", "r.dk", "r.s")
+        decided = stored(_merged(part.join(stored(speak), ["g", "h", "dk", "s"])))
+        found = part.join(decided, ["g", "h"]).select(F.col("g0").alias("g"), F.col("h0").alias("h"), (F.col("a") + F.col("a0")).alias("a"), "k").distinct()
+        out = found if out is None else out.unionByName(found)
+        rest = part.join(large, "g", "left_semi").select(part.columns)
+    return out
 
 
 def _spans(cover, size: int) -> list[tuple[int, int]]:

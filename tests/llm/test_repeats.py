@@ -41,15 +41,33 @@ def test_edges_of_passages(spark):
     check(spark, [*texts, "x" * 900, "xy" * 300, word(150) * 3, core + core])
 
 
-def test_very_long_rows_and_the_counting_path(spark, monkeypatch):
+@pytest.mark.parametrize("widths", [(16, 1), (1,)])
+def test_very_long_rows_and_grams_of_many_kinds(spark, monkeypatch, widths):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh") for _ in range(40_000))
     texts = [text, text[10_000:30_000] + "z" + text[:5_000], *(("q%d" % i) * 5 + text[7_000:7_260] + "r%d" % i for i in range(30))]
     monkeypatch.setattr(repeats, "SLICE_BYTES", 4096)
     monkeypatch.setattr(repeats, "HOT", 5)
+    monkeypatch.setattr(repeats, "WIDTHS", widths)
     check(spark, texts)
 
 
+def test_parts_of_contexts_hold_every_string_once():
+    rng = random.Random(4)
+    n = repeats.LENGTH
+    for width in (1, 16):
+        for d, starts in ((0, 1), (40, 12), (136, 137), (100, 101), (17, 18)):
+            c = bytes(rng.choice(b"ab") for _ in range(starts + n - 1))
+            seen = []
+            for a, k, core in repeats.narrower(c, d, width):
+                assert len({(d - j) // width for j in range(a, a + k)}) == 1 and len(core) == n - width + 1
+                for j in range(a, a + k):
+                    seen.append(j)
+                    at = j - (d - (d - j) // width * width)
+                    assert c[j : j + n][-at : -at + len(core)] == core
+            assert sorted(seen) == list(range(starts))
+
+
 @pytest.mark.parametrize("shard", [1, 3, 1000])
 def test_merge_does_not_depend_on_shards(monkeypatch, shard):
     rng = random.Random(7)
@@ -75,6 +93,16 @@ def test_merge_does_not_depend_on_shards(monkeypatch, shard):
         assert [x for x in s.tolist() if 0 <= once[c][0] - x <= repeats.SPREAD] == want
 
 
+def test_wholly_equal_rows_are_copies(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, texts = word(260), [word(300), word(400)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1] + passage), (3, word(50)), (3, passage[20:250] + "end")]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = sorted((k, removed) for (k, _), (_, removed, _) in zip(rows, brute([t for _, t in rows])))
+    assert got == want
+
+
 def test_odd_tables(docs, corpus, empty):
     assert repeats.remove_repeats(empty).count() == 0
     out = repeats.remove_repeats(docs.withColumn("spans", F.lit(1)), keep=["doc_id", "spans"])
