@@ -62,7 +62,13 @@ def _encode(batch: pa.RecordBatch, path: str, pattern: str) -> pa.RecordBatch:
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """(key, row_key, piece, n_tokens, ids, decoded) for each piece of each text, in the order of `piece`.
+    """The rows of both tables of `bpe_tables`; a reader of one kind only takes that table, as no filter passes the encoder."""
+    whole, pieces = bpe_tables(docs, path, pattern, key, text, chunk_chars, overlap_chars)
+    return whole.unionByName(pieces)
+
+
+def bpe_tables(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(key, row_key, piece, n_tokens, ids, decoded, copies): texts of one piece, and each piece of each longer text, in the order of `piece`.
 
     A text up to `chunk_chars` long is one piece. A longer one is cut into chunks that overlap by
     `overlap_chars`; each is pre-tokenised on its own, from its own start. Where two neighbours put a
@@ -77,12 +83,12 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     Other columns of `docs` are not read, whatever their names.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk_chars).select("k", F.lit(0).alias("piece"), F.lit(None).cast("long").alias("row_key"), "text")
+    short = rows.where(F.length("text") <= chunk_chars).select("k", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("row_key"), "text")
     schema_k = dict(rows.dtypes)["k"]
-    out_schema = f"k {schema_k}, piece int, row_key long, n_tokens long, ids binary, decoded binary"
+    out_schema = f"k {schema_k}, piece int, row_key string, n_tokens long, ids binary, decoded binary"
     encode = lambda b: _encode(b, path, pattern)
 
-    long = rows.where(F.length("text") > chunk_chars).withColumn("row_key", F.xxhash64("k", "text"))
+    long = rows.where(F.length("text") > chunk_chars).withColumn("row_key", F.concat_ws(":", F.sha2("text", 256), F.col("k").cast("string")))
     distinct = long.dropDuplicates(["row_key"])
     n = F.ceil(F.length("text") / F.lit(chunk_chars)).cast("int")
     chunks = distinct.select("row_key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * chunk_chars + 1, F.lit(chunk_chars + overlap_chars)))).alias("chunk", "text"))
@@ -98,7 +104,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             tail.append([base + x for x in at if chunk_chars <= x < last])
         return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("chunk"), pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=["row_key", "chunk", "head", "tail"])
 
-    met = map_batches(chunks.repartition(F.col("row_key"), F.col("chunk")), zones, "row_key long, chunk int, head array<bigint>, tail array<bigint>")
+    met = map_batches(chunks.repartition(F.col("row_key"), F.col("chunk")), zones, "row_key string, chunk int, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("row_key").orderBy("chunk")
     cuts = met.withColumn("cut", F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))).groupBy("row_key").agg(
         F.sort_array(F.collect_list("cut")).alias("cuts"), F.sum(F.when(F.col("cut").isNull() & (F.col("chunk") > 0), 1).otherwise(0)).alias("unmet")
@@ -114,7 +120,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     copies = long.groupBy("row_key").agg(F.count("*").alias("copies"))
     pieces = pieces.join(copies, "row_key").select("k", "row_key", "piece", "n_tokens", "ids", "decoded", "copies")
     whole = map_batches(short, encode, out_schema).select("k", "row_key", "piece", "n_tokens", "ids", "decoded", F.lit(1).cast("long").alias("copies"))
-    return whole.unionByName(pieces).withColumnRenamed("k", key)
+    return whole.withColumnRenamed("k", key), pieces.withColumnRenamed("k", key)
 
 
 def bpe_decode(ids: bytes, path: str, pattern: str) -> bytes:
@@ -126,27 +132,39 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of decoded bytes, for each document."""
     import public_tokenizers
 
-    out = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    one = out.where(F.col("row_key").isNull()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    many = out.where(F.col("row_key").isNotNull())
-
-    def digest(_, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["piece"])
-        a, b = hashlib.sha256(), hashlib.sha256()
-        for r in rows:
-            a.update(r["ids"])
-            b.update(r["decoded"])
-        k = rows[0]["copies"]
-        yield pa.RecordBatch.from_pydict({"doc_id": [rows[0]["doc_id"]] * k, "n_tokens": [sum(r["n_tokens"] for r in rows)] * k, "ids_sha256": [a.hexdigest()] * k, "decoded_sha256": [b.hexdigest()] * k})
+    whole, pieces = bpe_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    one = whole.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return one.unionByName(digests(pieces))
 
-    schema = f"doc_id {dict(out.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return one.unionByName(many.groupBy("row_key").applyInArrow(digest_table(digest), schema))
 
+def digests(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) for each text of the table of pieces, repeated rows as often as they are.
 
-def digest_table(fn):
-    """applyInArrow's function of a key and an iterator of batches, with its types spelled out."""
-
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(key, batches)
-
-    return run
+    Pieces come sorted, so that a task holds two running digests however long a text is.
+    """
+    kind = dict(pieces.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict | None = None
+        n, a, b = 0, hashlib.sha256(), hashlib.sha256()
+
+        def done() -> pa.RecordBatch:
+            k = last["copies"]
+            return pa.RecordBatch.from_arrays([pa.array([last[key]] * k, kept), pa.array([n] * k, pa.int64()), pa.array([a.hexdigest()] * k), pa.array([b.hexdigest()] * k)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        for batch in batches:
+            kept = batch.schema.field(key).type
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if last is not None and r["row_key"] != last["row_key"]:
+                    yield done()
+                    n, a, b = 0, hashlib.sha256(), hashlib.sha256()
+                n += r["n_tokens"]
+                a.update(r["ids"])
+                b.update(r["decoded"])
+                last = {c: r[c] for c in (key, "row_key", "copies")}
+        if last is not None:
+            yield done()
+
+    ordered = pieces.repartition("row_key").sortWithinPartitions("row_key", "piece")
+    return ordered.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

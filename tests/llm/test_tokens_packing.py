@@ -1,5 +1,6 @@
 """Operators 5 and 9: exact ids, round trips, gapless sequences."""
 
+import hashlib
 import random
 import zlib
 from functools import lru_cache
@@ -36,6 +37,17 @@ def test_chunks_give_the_whole_texts_ids(spark, corpus, chunk, overlap):
         assert b"".join(r["decoded"] for r in rs) == text.encode() == tokens.bpe_decode(b"".join(r["ids"] for r in rs), PATH, P.PATTERN)
 
 
+def test_digests_of_pieces(spark, corpus):
+    rows = [(r[0], r[1]) for r in corpus] + [(7000, "long " * 500)] * 2
+    _, pieces = tokens.bpe_tables(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN, chunk_chars=200, overlap_chars=40)
+    enc, want = tokens.encoding(PATH, P.PATTERN), []
+    for k, t in rows:
+        if t and len(t) > 200:
+            ids = np.array(enc.encode_ordinary(t), dtype="<u4")
+            want.append((k, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(map(tuple, tokens.digests(pieces).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_repeated_long_rows_are_counted(spark):
     df = spark.createDataFrame([(1, "word " * 100)] * 3, "doc_id long, text string")
     got = tokens.bpe_encode(df, PATH, P.PATTERN, chunk_chars=100, overlap_chars=20).collect()
