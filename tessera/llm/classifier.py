@@ -50,7 +50,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
                 h = (sums[pos + n] - sums[pos]) * inverse[pos]
                 h ^= h >> np.uint64(32)
                 out.append((_bucket(h, n), at))
-        hashes, at = words(part, bounds, sums)
+        hashes, at = words(part, bounds)
         out.append((_bucket(hashes, 11), at))
         three = windows(hashes, 3)
         lens = np.maximum(np.diff(at) - 2, 0)

@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -49,26 +51,41 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are cut to a bounded number of text bytes first.
+def shielded(docs: DataFrame, *named: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the named ones under reserved names, and a function that gives a result the old names and order.
 
-    `done` runs at the end of each task, for what a worker should not keep while it is idle. Spark's own batches are
-    bounded in bytes too, unless the session says otherwise: ten thousand long texts would be too much for one.
+    Whatever an operator adds or uses inside, columns that it doesn't know pass through as they are.
+    """
+    inside = [c if c in named else f"__column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*inside), lambda out: out.select(*inside).toDF(*docs.columns)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """mapInArrow with a function of one batch; batches are cut to a bounded number of text bytes first."""
+    return map_tasks(df, lambda: (fn, lambda: None), schema)
+
+
+def map_tasks(df: DataFrame, make: Callable[[], tuple[Callable[[pa.RecordBatch], pa.RecordBatch | None], Callable[[], pa.RecordBatch | None]]], schema: str) -> DataFrame:
+    """Like map_batches, with a pair of functions that `make` gives each task: one of a batch, and one for the task's end.
+
+    Spark's own batches are bounded in bytes too, unless the session says otherwise: ten thousand long texts would be too much for one.
     """
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES, "67108864b") == "67108864b":
         conf.set(BATCH_BYTES, str(2 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, last = make()
         try:
             for batch in batches:
                 for part in bounded(batch):
                     out = fn(part)
                     if out is not None and out.num_rows:
                         yield out
+            out = last()
+            if out is not None and out.num_rows:
+                yield out
         finally:
-            if done is not None:
-                done()
             release_memory()
 
     return df.mapInArrow(run, schema)

@@ -1,7 +1,9 @@
-"""Polynomial fingerprints of byte ranges by prefix sums, in numpy with 64-bit wrap-around."""
+"""Fingerprints in numpy: of words by their own bytes, of short byte ranges by prefix sums with 64-bit wrap-around."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -14,8 +16,13 @@ def _byte_table() -> np.ndarray:
 
 
 BYTES = _byte_table()
-LOWER = BYTES.copy()
-LOWER[65:91] = BYTES[97:123]
+#: ASCII capitals to small letters, other bytes to themselves.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: A word of more bytes is digested on its own.
+LONG = 64
+_KEY = np.uint64(0x2545F4914F6CDD1D)
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +53,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def ranges(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the byte ranges [begin, end), equal for equal bytes wherever they are."""
+    """Fingerprints of the byte ranges [begin, end), equal for equal bytes wherever they are.
+
+    For ranges of some hundred bytes: modulo a power of two, there are different strings of 1024 bytes that agree whatever the base.
+    """
     return mixed((sums[end] - sums[begin]) * powers(len(sums))[1][begin])
 
 
@@ -55,7 +65,25 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(part: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spelled(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [begin, end) by all their bytes, eight a step with a mixing round after each; long ranges by BLAKE2."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = end - begin
+    out = mixed(size.astype(np.uint64) + _KEY)
+    every = np.flatnonzero(size <= LONG)
+    for j in range(0, LONG, 8):
+        every = every[size[every] > j] if j else every
+        if not len(every):
+            break
+        out[every] = mixed((out[every] ^ (eight[begin[every] + j] & _MASK[np.minimum(size[every] - j, 8)])) * _KEY)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def words(part: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of concatenated rows, and at which word each row begins (and the last ends)."""
     word = ~SPACE[part]
     first = word.copy()
@@ -67,7 +95,7 @@ def words(part: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.nd
     inner = bounds[1:][bounds[1:] > 0] - 1
     last[inner] |= word[inner]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return ranges(sums, begin, end), np.searchsorted(begin, bounds)
+    return spelled(part, begin, end), np.searchsorted(begin, bounds)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -8,15 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import map_batches, release_memory, row_slices, stored, table, text_bytes
-from tessera.llm.hashing import LOWER, mixed, prefix, windows, words
+from tessera.llm.common import map_batches, map_tasks, release_memory, row_slices, stored, table, text_bytes
+from tessera.llm.hashing import LOWER, mixed, windows, words
 
 WORDS = 5
 #: Similarity at least PARTS_OF / PARTS.
 PARTS_OF, PARTS = 80, 100
-#: Distinct sets of a candidate cluster that meet in one task; a larger cluster meets block by block.
-BLOCK = 2048
+#: Distinct sets of a candidate cluster that meet in one task, and shingles that they may have; a larger cluster meets block by block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
+#: Shingles that a task counts while it looks for frequent ones: those in over a share of 1 / FREQUENT of its rows stay.
+FREQUENT = 4096
 #: Bits of the filter that texts pass before they are joined.
 FILTER_BITS = 1 << 25
 #: Bits of a signature, sets in a leaf, children of a node.
@@ -26,9 +29,9 @@ BITS, LEAF, FAN = 1024, 8, 8
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit shingle hashes) for each row of concatenated texts."""
     for a, b in row_slices(offsets):
-        part = data[offsets[a] : offsets[b]]
+        part = LOWER[data[offsets[a] : offsets[b]]]
         bounds = offsets[a : b + 1] - offsets[a]
-        hashes, at = words(part, bounds, prefix(part, LOWER))
+        hashes, at = words(part, bounds)
         rolled = windows(hashes, WORDS)
         for i in range(b - a):
             lo, hi = int(at[i]), int(at[i + 1])
@@ -59,6 +62,32 @@ def told(s: np.ndarray) -> np.ndarray:
     return s[: len(s) // 5 + spare(len(s))]
 
 
+class Frequent:
+    """The frequent ones of a stream of hashes, in bounded space: any in over 1 / `most` of it is among those kept (Misra and Gries).
+
+    A count is too low by at most that share of the stream.
+    """
+
+    def __init__(self, most: int = FREQUENT):
+        self.most, self.keys, self.counts, self.waiting, self.size = most, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.size += len(hashes)
+        if self.size > 64 * self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        keys, same = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
+        counts = np.bincount(same, np.concatenate((self.counts, counts)), len(keys)).astype(np.int64)
+        if len(keys) > self.most:
+            counts -= np.partition(counts, -self.most - 1)[-self.most - 1]
+            keys, counts = keys[counts > 0], counts[counts > 0]
+        self.keys, self.counts = keys, counts
+
+
 def set_id(s: np.ndarray) -> int | None:
     """A set's 64-bit name; the empty set has none."""
     if not len(s):
@@ -195,11 +224,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = stored(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
     while not _is_star(pairs):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written first: a join of plain shuffles is one that Spark can split where a node has very many edges
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: larger neighbours go to the smallest
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        large = stored(large)
         # small star: smaller neighbours and the node itself go to the smallest of them
-        low2 = large.groupBy("x").agg(F.min("y").alias("m"))
+        low2 = stored(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(low2, "x").select(F.explode(F.array(F.struct(F.col("y").alias("v"), F.col("m").alias("u")), F.struct(F.col("x").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         pairs = stored(small)
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("root")).union(pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
@@ -231,14 +262,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     rows = rows.select("k", "t", F.xxhash64("t").alias("th"))
-    kind = dict(rows.dtypes)["k"]
+    kind, arrow = dict(rows.dtypes)["k"], to_arrow_type(rows.schema["k"].dataType)
+
+    def signing() -> tuple:
+        often = Frequent()
+
+        def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+            data, offsets = text_bytes(batch.column(1))
+            n, ids = [], []
+            for _, s in shingle_sets(data, offsets):
+                n.append(len(s)), ids.append(set_id(s))
+                often.add(told(s))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2), pa.nulls(len(n), pa.int64())], names=["k", "n", "sid", "th", "h"])
+
+        def last() -> pa.RecordBatch:
+            often.settle()
+            x = len(often.keys)
+            return pa.RecordBatch.from_arrays([pa.nulls(x, arrow), pa.array(often.counts, pa.int64()), *(pa.nulls(x, pa.int64()),) * 2, pa.array(often.keys.view(np.int64))], names=["k", "n", "sid", "th", "h"])
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = text_bytes(batch.column(1))
-        n, ids = [], []
-        for _, s in shingle_sets(data, offsets):
-            n.append(len(s)), ids.append(set_id(s))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2)], names=["k", "n", "sid", "th"])
+        return sign, last
 
     def speak(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, sent, seen = [], [], set()
@@ -252,30 +294,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 sent.append(out.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64)) for x in (sent, ids)], names=["h", "sid"])
 
-    # the texts are signed twice: that costs less than keeping what they tell
-    sets = stored(map_batches(rows, sign, f"k {kind}, n long, sid long, th long"))
+    # the texts are signed twice: that costs less than keeping what they tell. Rows with h are tasks' frequent shingles
+    signed = stored(map_tasks(rows, signing, f"k {kind}, n long, sid long, th long, h long"))
+    sets = signed.where("h is null").select("k", "n", "sid", "th")
     spoken = map_batches(rows.select("t"), speak, "h long, sid long")
+    total = sets.where("n > 0").agg(F.sum(F.expr("n div 5 + greatest(1, n div 8)")).alias("total"))
+    often = signed.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).join(F.broadcast(total)).withColumn("parts", F.ceil(F.col("n") * FREQUENT / F.col("total")).cast("int"))
+    # a frequent shingle's sets are dealt to several groups, each of about 1 / FREQUENT of all rows
+    often = F.broadcast(stored(often.where("parts > 1").select("h", "parts").orderBy(F.desc("parts"), "h").limit(FREQUENT)))
+    dealt = lambda df: df.join(often, "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("sid"), F.col("parts")), F.lit(0)))
 
     # shingles that more than one set tells, once for each set
-    by_hash, ordered = Window.partitionBy("h"), Window.partitionBy("h").orderBy("sid")
+    by_hash, ordered = Window.partitionBy("h", "part"), Window.partitionBy("h", "part").orderBy("sid")
     new = F.col("prev").isNull() | (F.col("prev") != F.col("sid"))
-    spoken = spoken.withColumn("prev", F.lag("sid").over(ordered)).withColumn("df", F.sum(new.cast("int")).over(by_hash)).where(new & (F.col("df") > 1))
-    common = stored(spoken.select("h", "sid", F.col("df").cast("int").alias("df")))
+    spoken = dealt(spoken).withColumn("prev", F.lag("sid").over(ordered)).withColumn("df", F.sum(new.cast("int")).over(by_hash)).where(new & (F.col("parts").isNotNull() | (F.col("df") > 1)))
+    told_by = stored(spoken.select("h", "sid", F.col("df").cast("int").alias("df"), F.col("parts").isNotNull().alias("often")))
+    # of the frequent ones, FREQUENT at most, the counts of the groups add up
+    many = told_by.where("often").groupBy("h").agg(F.count("*").cast("int").alias("many"))
+    common = told_by.join(F.broadcast(many), "h", "left").select("h", "sid", F.coalesce("many", "df").alias("df")).where("df > 1")
     heard = common.groupBy("sid").agg(F.count("*").alias("shared"))
     known = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("k", "th")).alias("row"))
     # the smallest partner's spare shingles are shared at least; of those shared, the rarest suffice that
     # leave out one fewer. Shingles of one set only would come before them, and need no row
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 8))
-    alive = stored(heard.join(known, "sid").where(F.col("shared") >= least).select("sid", "row.k", "row.th", (F.col("shared") - least + 1).alias("rare")))
+    alive = stored(heard.join(known, "sid").where(F.col("shared") >= least).select("sid", "n", "row.k", "row.th", (F.col("shared") - least + 1).alias("rare")))
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("df", "h"))
     near = common.join(alive.select("sid", "rare"), "sid").withColumn("i", rank).where("i <= rare").select("h", "sid")
-    star = near.withColumn("u", F.min("sid").over(Window.partitionBy("h"))).where("u <> sid").select(F.col("u").alias("a"), F.col("sid").alias("b")).distinct()
+    near = stored(dealt(near).withColumn("u", F.min("sid").over(by_hash)).select("h", "sid", "u", F.col("parts").isNotNull().alias("often")))
+    first = near.where("often").groupBy("h").agg(F.min("u").alias("first"))
+    star = near.join(F.broadcast(first), "h", "left").select(F.coalesce("first", "u").alias("a"), F.col("sid").alias("b")).where("a <> b").distinct()
     cluster = components(star)
-    size = cluster.groupBy("root").agg(F.count("*").alias("members"))
-    member = cluster.join(size, "root").join(alive, F.col("node") == F.col("sid")).select("sid", "k", "th", F.col("root").alias("cluster"), "members")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    cluster = stored(cluster.join(alive, F.col("node") == F.col("sid")).select("sid", "k", "th", "n", "root"))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    size = stored(cluster.groupBy("root").agg(blocks.alias("blocks")))
+    member = cluster.join(size, "root").select("sid", "k", "th", "n", F.col("root").alias("cluster"), "blocks")
     member = member.withColumn("first", F.col("sid") == F.col("cluster"))
-    member = stored(member.select("sid", F.col("k").alias("mk"), F.col("th").alias("mh"), "cluster", "first", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block")))
+    member = stored(member.select("sid", F.col("k").alias("mk"), F.col("th").alias("mh"), "n", "cluster", "first", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")))
 
     # the sets themselves
     packed = map_batches(possibly_in(rows, "th", member, "mh"), squeezed, f"k {kind}, z binary, th long")
@@ -302,10 +356,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = stored(_meet(met))
     # in large clusters: what is connected with the first set, and what is not yet
     label = components(links)
-    seen = large.join(label, F.col("sid") == F.col("node"), "left").select("sid", "cluster", "first", F.coalesce("root", "sid").alias("label"))
-    main = seen.where("first").select("cluster", F.col("label").alias("main"))
-    seen = seen.join(main, "cluster").withColumn("rest", F.col("label") != F.col("main"))
-    n = seen.groupBy("cluster").agg(F.ceil(F.count_if("rest") / F.lit(BLOCK)).cast("int").alias("nr"), F.ceil(F.count_if(~F.col("rest")) / F.lit(BLOCK)).cast("int").alias("nm"))
+    seen = stored(large.join(label, F.col("sid") == F.col("node"), "left").select("sid", "n", "cluster", "first", F.coalesce("root", "sid").alias("label")))
+    main = stored(seen.where("first").select("cluster", F.col("label").alias("main")))
+    seen = stored(seen.join(main, "cluster").withColumn("rest", F.col("label") != F.col("main")))
+    need = lambda on: F.ceil(F.greatest(F.count_if(on) / F.lit(BLOCK), F.sum(F.when(on, F.col("n")).otherwise(0)) / F.lit(BLOCK_SHINGLES))).cast("int")
+    n = stored(seen.groupBy("cluster").agg(need(F.col("rest")).alias("nr"), need(~F.col("rest")).alias("nm")))
     part = F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
     seen = seen.join(n, "cluster").where("nr > 0").select("sid", "label", "rest", "nr", "nm", part.alias("own"))
     # (p, q): block p of the rest meets block q of the main part, or a later block of the rest, those counted on from nm

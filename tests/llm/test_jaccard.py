@@ -56,9 +56,10 @@ def test_corpus(spark, corpus):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_borderline_families(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,shingles", [(4, 1 << 22), (2048, 900), (2048, 1 << 22)])
+def test_borderline_families(spark, monkeypatch, block, shingles):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
     rng = random.Random(6)
     texts = []
     for size in (6, 12, 40, 130, 500, 1200):
@@ -86,6 +87,34 @@ def test_trees_lose_no_link():
     assert all(top(i) == top(j) for i, j in itertools.combinations(range(120), 2) if jaccard.linked(sets[i], sets[j]))
 
 
+def test_words_that_agree_under_any_polynomial_are_told_apart(spark):
+    thue = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(i, "".join("ab"[x ^ i] for x in thue[:n])) for n in (1024, 2048) for i in (0, 1)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_frequent_shingles_are_dealt_without_loss(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "FREQUENT", most * 40)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = family(rng, 60, base, 3) + [" ".join(f"x{i}y{j}" for j in range(30)) + " " + " ".join(base[:30]) for i in range(40)] + family(rng, 9, [f"v{i}" for i in range(20)], 1)
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_frequent_hashes_stay():
+    rng = np.random.default_rng(3)
+    often = jaccard.Frequent(16)
+    for _ in range(50):
+        x = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+        x[:60], x[60:100] = 7, 8
+        often.add(x)
+    often.settle()
+    assert {7, 8} <= set(often.keys.tolist()) and len(often.keys) <= 16
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in jaccard.components(e).collect()}
