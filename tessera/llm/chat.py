@@ -31,18 +31,31 @@ def unescaped(text: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, copy, role, text) of an event log.
 
-    Events are (conv_id, turn, copy, seq, op, role, text). In the order of seq, `delta` adds text to the
-    message, `edit` replaces what it has, `regenerate` clears it. Only the last edit or regeneration and what follows matter, so the fold
-    is: find that sequence number, drop what is before, and join the rest in order. The role is that of the last
-    event that names one. Null texts count as empty, unknown ops as nothing. Events of equal seq
-    order by op, then text. Messages are grouped one by one; no group is larger than a message's own log.
+    Events are (conv_id, turn, copy, seq, op, role, text). In the order of a conversation's seq, `delta` adds text to its message, `edit`
+    replaces what the message has, and `regenerate` clears it and discards all later turns as they are by then. So an event counts if
+    no edit or regeneration of its own message and no regeneration of an earlier turn comes after it: of a message
+    only what follows the last of these is joined, and a message of which nothing is left, though something was
+    discarded, is none. The role is that of the last event that counts and names one. Null texts count as empty, unknown ops as nothing. Events of
+    equal seq order by op, then text. Texts are grouped message by message; of a whole conversation only numbers are sorted.
     """
+    key = ["conv_id", "turn", "copy"]
+    # the last regeneration of an earlier turn, where it comes after a message's first event
+    message = events.groupBy(*key).agg(F.min("seq").alias("first"), F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).alias("regenerated"))
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    cut = message.withColumn("cut", F.max("regenerated").over(earlier)).where("cut > first").select(*(F.col(c).alias(f"__{c}") for c in key), "cut")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+
     last = F.max(F.when(F.col("op").isin("edit", "regenerate"), F.col("seq"))).alias("reset")
-    parts = F.sort_array(F.collect_list(F.struct("seq", "op", F.coalesce("text", F.lit("")).alias("text"))))
-    role = F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq")))
-    folded = events.groupBy("conv_id", "turn", "copy").agg(last, parts.alias("parts"), role.alias("role"))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "op", F.coalesce("text", F.lit("")).alias("text"), "role")))
+    folded = events.groupBy(*key).agg(last, parts.alias("parts")).join(cut, same, "left")
+    counts = F.filter("parts", lambda p: F.col("cut").isNull() | (p["seq"] > F.col("cut")))
+    folded = folded.select(*key, "reset", counts.alias("parts")).where(F.size("parts") > 0)
+    role = F.element_at(F.filter("parts", lambda p: p["role"].isNotNull()), -1)["role"]
+    role = F.when(F.exists("parts", lambda p: p["role"].isNotNull()), role)
     live = F.filter("parts", lambda p: (p["op"].isin("edit", "delta")) & (F.col("reset").isNull() | (p["seq"] >= F.col("reset"))))
-    return folded.select("conv_id", "turn", "copy", "role", F.array_join(F.transform(live, lambda p: p["text"]), "").alias("text"))
+    return folded.select(*key, role.alias("role"), F.array_join(F.transform(live, lambda p: p["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:

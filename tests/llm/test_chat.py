@@ -64,3 +64,27 @@ def _unescape(s):
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.render(chat.fold_events(chat.conversation_events(none))).count() == 0
+
+
+def test_a_regeneration_discards_later_turns(spark):
+    e = [(1, 0, "delta", "user", "hi"), (1, 1, "delta", "assistant", "first"), (2, 2, "delta", "user", "more"), (3, 3, "delta", "assistant", "gone")]
+    log = [(7, t, 1, 10 * i, op, role, text) for i, (t, _, op, role, text) in enumerate([(0, 0, "delta", "user", "hi"), *e[1:]])]
+    log += [(7, 1, 1, 40, "regenerate", None, None), (7, 1, 1, 41, "delta", None, "second"), (7, 2, 1, 50, "delta", "user", "again"), (7, 2, 1, 51, "edit", None, "again!")]
+    log += [(8, 1, 1, 5, "regenerate", "assistant", None), (8, None, 1, 6, "delta", "user", "?"), (8, 1, 1, 7, "delta", None, "a"), (8, 2, 1, 8, "delta", "user", "b")]
+    df = spark.createDataFrame(log, "conv_id long, turn long, copy int, seq long, op string, role string, text string")
+    got = sorted(((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.fold_events(df).collect()), key=repr)
+    assert got == sorted([(7, 0, "user", "hi"), (7, 1, "assistant", "second"), (7, 2, "user", "again!"), (8, 1, "assistant", "a"), (8, 2, "user", "b"), (8, None, "user", "?")], key=repr)
+
+
+def test_long_conversations_and_a_broken_mask(spark):
+    """More turns than a segment and texts longer than a block; the text under a mask that is off by one is another."""
+    turns = [(1, i, "assistant" if i % 2 else "user", f"</s> say {i} \\ " * (1 + 300 * (i == 301))) for i in range(3 * chat.SEGMENT + 5)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.fold_events(chat.conversation_events(rows))).cache()
+    said = "".join(t for _, _, r, t in turns if r == "assistant")
+    pick = lambda spans: out.select(F.array_join(chat.masked(F.col("formatted"), spans), "").alias("x")).collect()[0]["x"]
+    assert pick(F.col("loss_spans")) == said
+    assert pick(F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end")))) != said
+    assert pick(F.slice("loss_spans", 2, 10**6)) != said
+    back = out.select(chat.read_back(F.col("formatted")).alias("t")).collect()[0]["t"]
+    assert [(r["role"], r["text"]) for r in back] == [(r, t) for _, _, r, t in turns]
