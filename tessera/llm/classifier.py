@@ -17,8 +17,8 @@ from tessera.llm.hashing import powers, prefix, windows, words
 SAMPLE_ROWS = 4000
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 5)
 EPOCHS, RATE = 8, 0.4
-#: A sample text of more bytes than this is left aside while fitting; scoring reads every text whole.
-SAMPLE_BYTES = 1 << 17
+#: A sample text of more bytes than this is left aside while fitting, so that 64 MB come to the driver at most; scoring reads every text whole.
+SAMPLE_BYTES = 1 << 14
 THRESHOLD = 0.7
 _SHIFT = np.uint64(64 - 18)
 _MIX = np.uint64(0xD6E8FEB86659FD93)

@@ -56,7 +56,7 @@ def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang"
     """Per-language raw-content dictionaries, the most frequent language first.
 
     From each language at most SAMPLE_ROWS whole texts, picked by a hash of key and text, are
-    brought to the driver, texts of over DICT_BYTES / 4 bytes left aside unless there are no others; their
+    brought to the driver, texts of over DICT_BYTES / 4 bytes left aside unless there are no others, and of those the first DICT_BYTES characters; their
     normalised texts are strung together up to DICT_BYTES. The bounds don't depend on the input's size;
     the count of rows of each language, which breaks ties, covers all rows. Null languages and texts teach
     nothing.
@@ -64,15 +64,14 @@ def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang"
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     # of a frequent language only rows with small hashes are ranked: enough of them, however many rows there are
-    share = F.lit(1.0)
-    for code, n in counts.items():
-        share = F.when(F.col("lang") == code, min(1.0, 8 * SAMPLE_ROWS / n)).otherwise(share)
+    spark = labelled.sparkSession
+    share = F.broadcast(spark.createDataFrame([(c, min(1.0, 8 * SAMPLE_ROWS / n)) for c, n in counts.items()], "lang string, share double"))
     narrow = rows.select("lang", "h", (F.octet_length("text") > DICT_BYTES // 4).alias("late"))
-    narrow = narrow.where(F.pmod("h", F.lit(1 << 40)) < share * (1 << 40))
+    narrow = narrow.join(share, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40)).drop("share")
     ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("late", "h"))).where(F.col("rank") <= SAMPLE_ROWS)
     picked = rows.select("lang", "h", "text").join(F.broadcast(ranked.select("lang", "h", "rank")), ["lang", "h"])
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.select("lang", "rank", "text").collect():
+    for r in picked.select("lang", "rank", F.substring("text", 1, DICT_BYTES).alias("text")).collect():
         texts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
     out = []
     for code in sorted(texts, key=lambda c: (-counts[c], c)):

@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RANDOM = 20
 #: Nats a character by which the model of random strings must be ahead.
-THRESHOLD = 0.75
+THRESHOLD = 0.5
 
 #: Parts of which the labelled samples of ordinary identifiers are made.
 STEMS = (
@@ -136,6 +136,16 @@ def _find_all(low: bytes, word: bytes) -> list[int]:
     return out
 
 
+def uncovered(begin: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [begin, end) outside all spans."""
+    out, at = [], begin
+    for x, y in sorted(s for s in spans if s[0] < end and begin < s[1]):
+        if x > at:
+            out.append((at, x))
+        at = max(at, y)
+    return [*out, (at, end)] if at < end else out
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> dict[int, list[tuple[int, int, str]]]:
     """Spans of each row that has any: (start, end, kind) in code points, sorted by start, then kind as listed."""
     found: dict[int, list[tuple[int, int, str]]] = {}
@@ -163,13 +173,12 @@ def scan(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> dict[int,
             if m.end() - m.start() >= MIN_ACCESS:
                 found.setdefault(row, []).append((a + m.start(), a + m.end(), "access"))
     for b, e in zip(*_runs(data, offsets, _IS_WORD, MIN_RANDOM), strict=True):
-        s = raw[b:e]
-        # without a digit, or with digits only, it is a word or a number
-        if s.isdigit() or not any(48 <= c <= 57 for c in s) or log_ratio(s, ratio) < THRESHOLD:
-            continue
         row = int(np.searchsorted(offsets, b, "right")) - 1
-        if not any(x < e and b < y for x, y, _ in found.get(row, ())):
-            put(int(b), int(e), "random")
+        for x, y in uncovered(int(b), int(e), [(x, y) for x, y, k in found.get(row, ()) if k != "random"]):
+            part = raw[x:y]
+            # digits only are a number
+            if y - x >= MIN_RANDOM and not part.isdigit() and log_ratio(part, ratio) >= THRESHOLD:
+                put(x, y, "random")
     out = {}
     for row, spans in found.items():
         a = int(offsets[row])
@@ -182,8 +191,8 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """Adds `spans`, an array of (start, end, kind), to the columns of docs, or to those in `keep`.
 
     Base kinds are leftmost, non-overlapping matches of the patterns above, kinds on their own; matches
-    shorter than the least lengths are dropped after matching. `random` spans are runs of ALPHABET that
-    touch no base span, hold a digit but not only digits, and look random: two first-order Markov models,
+    shorter than the least lengths are dropped after matching. `random` spans are runs of ALPHABET, or
+    what base spans leave of them, at least MIN_RANDOM long, that are not mere numbers and look random: two first-order Markov models,
     of random strings and of ordinary identifiers, are fitted on labelled samples (`samples` of each, a
     fixed bound), and the mean log-likelihood ratio decides. Null and empty texts have no spans. Offsets are
     in code points, ends exclusive. A column called `spans` is replaced.
