@@ -21,7 +21,7 @@ SPREAD = LENGTH - GRAM
 #: A row of more bytes is looked through in stretches.
 SLICE_BYTES = 1 << 19
 #: Contexts of a shard, of a merge, and kinds of a gram that are refined in one task.
-SHARD, MERGE, HOT = 8192, 1 << 15, 1 << 15
+SHARD, MERGE, HOT = 8192, 1 << 15, 1 << 11
 #: Distances from the gram that parts of a larger gram's contexts have, one width after another; the last must be 1.
 WIDTHS = (16, 1)
 #: Columns of contexts: row, start, gram's distance, gram, hash of the bytes, whether they count twice, bytes; of parts, the context's gram and hash, and the place in it, too.
