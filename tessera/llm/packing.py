@@ -20,7 +20,7 @@ END_ID = 2
 #: Sequences of a training step.
 STEP = 64
 #: Pieces of a length are ranked in parts of about so many.
-PART_ROWS = 1 << 15
+PART_ROWS = 1 << 9
 
 #: Bytes of a unit that the table holds, ids that it may have, and slots of the table: 48 bytes each.
 KEY, MOST_IDS, SLOT_BITS = 24, 8, 20
