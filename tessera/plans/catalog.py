@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Model], Data
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tessera.plans import checks, store, transactions  # noqa: F401
+    from tessera.plans import checks, states, store, transactions  # noqa: F401

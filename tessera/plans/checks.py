@@ -242,7 +242,7 @@ def ledger_tally(m: Model) -> DataFrame:
 
 @query(
     "minimal_fault_sets",
-    """with f as (select user_id as set_id, list_sort(list(distinct event_id % 11)) as features from events where event_id % 3 = 0 and event_id < 3000 group by user_id)
+    """with f as (select user_id as set_id, list_sort(list(distinct event_id % 11)) as features from events where event_id % 3 = 0 group by user_id)
 select set_id, array_to_string(features, ',') as features from f a where not exists (select 1 from f b where len(b.features) < len(a.features) and list_has_all(a.features, b.features))""",
 )
 def minimal_fault_sets(m: Model) -> DataFrame:

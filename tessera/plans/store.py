@@ -53,9 +53,9 @@ def point_get(m: Model) -> DataFrame:
     return storage.point_get(m.kv_ops, m.events.select((F.col("user_id") * 2).alias("key")).distinct(), snapshot=5000)
 
 
-@query("write_batch_sequences", "select key, op, value, 1000 + seq - 1 as seq from kv_ops where seq <= 500")
+@query("write_batch_sequences", "select key, op, value, 1000 + seq - 1 as seq from kv_ops")
 def write_batch_sequences(m: Model) -> DataFrame:
-    batch = m.kv_ops.where("seq <= 500").withColumn("pos", F.col("seq") - 1)
+    batch = m.kv_ops.withColumn("pos", F.col("seq") - 1)
     return storage.assign_sequences(batch.drop("seq"), 1000).select("key", "op", "value", "seq")
 
 
@@ -196,7 +196,7 @@ def commit_all(m: Model) -> DataFrame:
     return versions.commit_all(w, m.intents, m.versions.where("key % 4 <> 1"))
 
 
-@query("put_intents", "with q as (select event_id as log_index, user_id as key, 2000000 + event_id % 9 as txn from events where event_id < 2000), f as (select q.*, first_value(q.txn) over (partition by q.key order by log_index) as first, i.txn as holder from q left join intents i on q.key = i.key) select log_index, key, txn, coalesce(holder, first) = txn as ok from f")
+@query("put_intents", "with q as (select event_id as log_index, user_id as key, 2000000 + event_id % 9 as txn from events), f as (select q.*, first_value(q.txn) over (partition by q.key order by log_index) as first, i.txn as holder from q left join intents i on q.key = i.key) select log_index, key, txn, coalesce(holder, first) = txn as ok from f")
 def put_intents(m: Model) -> DataFrame:
     q = m.events.select(F.col("event_id").alias("log_index"), F.col("user_id").alias("key"), (F.lit(2000000) + F.col("event_id") % 9).alias("txn"))
     return versions.put_intents(q, m.intents)
@@ -210,8 +210,9 @@ def lock_outcomes(m: Model) -> DataFrame:
 
 @query(
     "lock_wait_cycles",
-    """with recursive walk as (select waiter, blocker as here, 1 as n from waits union all select w.waiter, b.blocker, n + 1 from walk w join waits b on w.here = b.waiter where n < 12 and w.here <> w.waiter)
-select waiter, min(n)::bigint as cycle_length from walk where here = waiter group by waiter""",
+    """with recursive walk as (select waiter, blocker as here from waits union select w.waiter, b.blocker from walk w join waits b on w.here = b.waiter),
+loops as (select waiter from walk where here = waiter), least as (select l.waiter, min(k.here) as name from loops l join walk k using (waiter) group by l.waiter)
+select l.waiter, count(*) as cycle_length from least l join least o on l.name = o.name group by l.waiter""",
 )
 def lock_wait_cycles(m: Model) -> DataFrame:
     return versions.wait_cycles(m.waits)

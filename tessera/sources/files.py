@@ -17,11 +17,13 @@ DRILL_FIELDS = ("suite", "mutation", "must_detect", "caught", "seeds", "first_se
 def written(df: DataFrame) -> DataFrame:
     """The rows written once below spark.checkpoint.dir and read back, which cuts the plan's lineage.
 
-    Where no such folder is set (single-machine use), one in the temporary folder takes its place.
+    Where no such folder is set, one in the temporary folder takes its place on a single machine; a cluster must name one.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
