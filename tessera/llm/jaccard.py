@@ -395,8 +395,9 @@ def _labelled(sets: DataFrame, links: DataFrame, key: str) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
     # each set's smallest key first, then each component's: a set of many copies never meets in one task
     smallest = sets.where("sid is not null").groupBy("sid").agg(F.min("k").alias("m"))
-    smallest = smallest.join(label, F.col("sid") == F.col("node"), "left").select("sid", "m", F.coalesce("root", "sid").alias("root"))
-    top = smallest.groupBy("root").agg(F.min("m").alias("component_id"))
+    # written, so that joins are of plain shuffles and a component of very many sets can be split
+    smallest = stored(smallest.join(label, F.col("sid") == F.col("node"), "left").select("sid", "m", F.coalesce("root", "sid").alias("root")))
+    top = stored(smallest.groupBy("root").agg(F.min("m").alias("component_id")))
     known = smallest.join(top, "root").join(degree, "sid", "left").select("sid", F.col("root").alias("component"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = sets.join(known, "sid", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component", F.col("th").alias("text_hash"))
