@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
 import pandas as pd
@@ -20,6 +21,8 @@ FORBIDS = {
     "strict-serializable": ("G0", "G1a", "G1b", "G1c", "G-single", "G2-item", "real-time-violation"),
 }
 H = "history_id"
+#: The type of rows that give a transaction's time instead of an edge.
+SPAN = "span"
 
 
 def serial_model(mops: DataFrame) -> DataFrame:
@@ -33,9 +36,9 @@ def writers(mops: DataFrame) -> DataFrame:
     return mops.where("type = 'append'").groupBy(H, "key", "element").agg(F.min_by("txn_id", "pos").alias("txn_id"))
 
 
-def duplicate_elements(mops: DataFrame) -> DataFrame:
+def duplicate_elements(mops: DataFrame, by: DataFrame | None = None) -> DataFrame:
     """Elements that two transactions appended: the first, and the first other one."""
-    first = writers(mops).withColumnRenamed("txn_id", "first_txn")
+    first = (by or writers(mops)).withColumnRenamed("txn_id", "first_txn")
     a = mops.where("type = 'append'").join(first, [H, "key", "element"]).where("txn_id <> first_txn")
     return a.groupBy(H, "key", "element", "first_txn").agg(F.min_by("txn_id", "pos").alias("other_txn"))
 
@@ -48,54 +51,55 @@ def version_orders(mops: DataFrame) -> DataFrame:
     return reads.join(longest, [H, "key"]).groupBy(H, "key").agg(F.first("elements").alias("elements"), F.bool_or(bad).alias("conflicted"))
 
 
-def aborted_reads(mops: DataFrame, history: DataFrame) -> DataFrame:
+def aborted_reads(mops: DataFrame, history: DataFrame, by: DataFrame | None = None) -> DataFrame:
     """G1a: (history_id, reader, writer, key, element) of reads that hold an element of another, aborted transaction."""
     seen = mops.where("type = 'read'").select(H, F.col("txn_id").alias("reader"), "key", F.explode("observed").alias("element")).distinct()
     bad = history.where("outcome = 'aborted'").select(H, F.col("txn_id").alias("writer"))
-    w = writers(mops).withColumnRenamed("txn_id", "writer").join(bad, [H, "writer"])
+    w = (by or writers(mops)).withColumnRenamed("txn_id", "writer").join(bad, [H, "writer"])
     return seen.join(w, [H, "key", "element"]).where("reader <> writer").select(H, "reader", "writer", "key", "element")
 
 
-def intermediate_reads(mops: DataFrame, history: DataFrame) -> DataFrame:
+def intermediate_reads(mops: DataFrame, history: DataFrame, by: DataFrame | None = None) -> DataFrame:
     """G1b: reads whose last element is not the last that its committed writer appended to the key."""
     last = mops.where("type = 'append'").groupBy(H, F.col("txn_id").alias("writer"), "key").agg(F.max_by("element", "pos").alias("final"))
     seen = mops.where("type = 'read' and size(observed) > 0").select(H, F.col("txn_id").alias("reader"), "key", F.element_at("observed", -1).alias("element")).distinct()
     good = history.where("outcome = 'committed'").select(H, F.col("txn_id").alias("writer"))
-    w = writers(mops).withColumnRenamed("txn_id", "writer").join(good, [H, "writer"])
+    w = (by or writers(mops)).withColumnRenamed("txn_id", "writer").join(good, [H, "writer"])
     j = seen.join(w, [H, "key", "element"]).join(last, [H, "writer", "key"])
     return j.where("reader <> writer and element <> final").select(H, "reader", "writer", "key", "element")
 
 
-def _placed(mops: DataFrame) -> DataFrame:
-    o = version_orders(mops).where("not conflicted")
-    return o.select(H, "key", F.posexplode("elements").alias("at", "element"))
+def _placed(orders: DataFrame) -> DataFrame:
+    return orders.where("not conflicted").select(H, "key", F.posexplode("elements").alias("at", "element"))
 
 
-def edges_ww(mops: DataFrame) -> DataFrame:
-    """Writers of consecutive versions."""
-    w = _placed(mops).join(writers(mops), [H, "key", "element"])
+def edges_ww(mops: DataFrame, orders: DataFrame | None = None, by: DataFrame | None = None) -> DataFrame:
+    """Writers of consecutive versions. Version orders and writers may be given, as to the other functions of edges."""
+    orders, by = orders or version_orders(mops), by or writers(mops)
+    w = _placed(orders).join(by, [H, "key", "element"])
     nxt = F.lead("txn_id").over(Window.partitionBy(H, "key").orderBy("at"))
     near = F.lead("at").over(Window.partitionBy(H, "key").orderBy("at"))
     e = w.withColumns({"dst": nxt, "next": near}).where("next = at + 1 and txn_id <> dst")
     return e.select(H, F.col("txn_id").alias("src"), "dst", F.lit("ww").alias("type"), "key").distinct()
 
 
-def _good_reads(mops: DataFrame) -> DataFrame:
-    o = version_orders(mops).where("not conflicted").select(H, "key")
-    return mops.where("type = 'read'").join(o, [H, "key"])
+def _good_reads(mops: DataFrame, orders: DataFrame) -> DataFrame:
+    return mops.where("type = 'read'").join(orders.where("not conflicted").select(H, "key"), [H, "key"])
 
 
-def edges_wr(mops: DataFrame) -> DataFrame:
+def edges_wr(mops: DataFrame, orders: DataFrame | None = None, by: DataFrame | None = None) -> DataFrame:
     """The writer of a read's last element, to the reader."""
-    r = _good_reads(mops).where("size(observed) > 0").select(H, F.col("txn_id").alias("dst"), "key", F.element_at("observed", -1).alias("element"))
-    w = writers(mops).withColumnRenamed("txn_id", "src")
+    orders, by = orders or version_orders(mops), by or writers(mops)
+    r = _good_reads(mops, orders).where("size(observed) > 0").select(H, F.col("txn_id").alias("dst"), "key", F.element_at("observed", -1).alias("element"))
+    w = by.withColumnRenamed("txn_id", "src")
     return r.join(w, [H, "key", "element"]).where("src <> dst").select(H, "src", "dst", F.lit("wr").alias("type"), "key").distinct()
 
 
-def edges_rw(mops: DataFrame) -> DataFrame:
+def edges_rw(mops: DataFrame, orders: DataFrame | None = None, by: DataFrame | None = None) -> DataFrame:
     """A reader of n elements, to the writer of the version at index n."""
-    r = _good_reads(mops).select(H, F.col("txn_id").alias("src"), "key", F.size("observed").alias("at"))
-    w = _placed(mops).join(writers(mops).withColumnRenamed("txn_id", "dst"), [H, "key", "element"])
+    orders, by = orders or version_orders(mops), by or writers(mops)
+    r = _good_reads(mops, orders).select(H, F.col("txn_id").alias("src"), "key", F.size("observed").alias("at"))
+    w = _placed(orders).join(by.withColumnRenamed("txn_id", "dst"), [H, "key", "element"])
     return r.join(w, [H, "key", "at"]).where("src <> dst").select(H, "src", "dst", F.lit("rw").alias("type"), "key").distinct()
 
 
@@ -123,6 +127,11 @@ def edges(mops: DataFrame, history: DataFrame, strict: bool = False) -> DataFram
     return out.unionByName(edges_rt(history)) if strict else out
 
 
+def spans(history: DataFrame) -> DataFrame:
+    """Rows beside edges that stand for all real-time edges: src a committed transaction, dst its beginning, key its end."""
+    return history.where("outcome = 'committed'").select(H, F.col("txn_id").alias("src"), F.col("invoked").alias("dst"), F.lit(SPAN).alias("type"), F.col("completed").alias("key"))
+
+
 def strong_components(adjacent: dict[int, list]) -> list[list[int]]:
     """Components of over one node, by Kosaraju's two passes; sorted."""
     nodes = sorted(set(adjacent) | {e[0] for out in adjacent.values() for e in out})
@@ -220,11 +229,42 @@ def classify(kinds: list[str]) -> str:
 
 def _graph(pdf: pd.DataFrame) -> dict[int, list]:
     adjacent: dict[int, list] = {}
+    pdf = pdf[pdf.type != SPAN]
     for s, d, t, k in sorted(zip(pdf.src, pdf.dst, pdf.type, pdf.key, strict=True), key=lambda e: (e[0], e[1], EDGE_ORDER[e[2]], e[3])):
         adjacent.setdefault(int(s), []).append((int(d), EDGE_ORDER[t], int(k), t))
     return adjacent
 
 
+class Timed:
+    """A graph with the real-time edges that transactions' times imply, without a list of them.
+
+    `direct` has those only that no other transaction lies wholly between, few for each transaction: components are the
+    same. `get` gives a node's edges inside a component, all of them, made when asked for.
+    """
+
+    def __init__(self, adjacent: dict[int, list], times: dict[int, tuple[int, int]]):
+        self.adjacent, self.times, self.part = adjacent, times, []
+
+    def direct(self) -> dict[int, list]:
+        out = {n: list(e) for n, e in self.adjacent.items()}
+        ends = sorted((end, start, n) for n, (start, end) in self.times.items())
+        at, latest, passed = 0, None, [e[0] for e in ends]
+        for n, (start, _) in sorted(self.times.items(), key=lambda x: x[1][0]):
+            while at < len(ends) and ends[at][0] < start:
+                latest = ends[at][1] if latest is None else max(latest, ends[at][1])
+                at += 1
+            if latest is not None:
+                for _, _, before in ends[bisect_left(passed, latest, 0, at) : at]:
+                    if before != n:
+                        out.setdefault(before, []).append((n, EDGE_ORDER["rt"], -1, "rt"))
+        return out
+
+    def get(self, n: int, default=()) -> list:
+        end = self.times[n][1] if n in self.times else None
+        later = [(m, EDGE_ORDER["rt"], -1, "rt") for m in self.part if end is not None and m != n and m in self.times and end < self.times[m][0]]
+        return sorted([*self.adjacent.get(n, default), *later], key=lambda e: e[:3])
+
+
 def components(edge_rows: DataFrame) -> DataFrame:
     """(history_id, component, txn_id) of strongly connected components of over one transaction."""
 
@@ -236,13 +276,17 @@ def components(edge_rows: DataFrame) -> DataFrame:
 
 
 def cycle_witnesses(edge_rows: DataFrame) -> DataFrame:
-    """(history_id, component, anomaly, txns, types): one shortest cycle of each component."""
+    """(history_id, component, anomaly, txns, types): one shortest cycle of each component. Rows of `spans` count as all real-time edges."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         adjacent = _graph(pdf)
+        timed = pdf[pdf.type == SPAN]
+        graph = Timed(adjacent, {int(n): (int(a), int(b)) for n, a, b in zip(timed.src, timed.dst, timed.key, strict=True)}) if len(timed) else None
         rows = []
-        for p in strong_components(adjacent):
-            txns, kinds = shortest_cycle(p, adjacent)
+        for p in strong_components(adjacent if graph is None else graph.direct()):
+            if graph is not None:
+                graph.part = p
+            txns, kinds = shortest_cycle(p, adjacent if graph is None else graph)
             rows.append((int(pdf[H].iloc[0]), p[0], classify(kinds), txns, kinds))
         return pd.DataFrame(rows, columns=[H, "component", "anomaly", "txns", "types"])
 
@@ -255,13 +299,21 @@ def forbidden(spark: SparkSession) -> DataFrame:
 
 
 def anomalies(mops: DataFrame, history: DataFrame, strict: bool = False) -> DataFrame:
-    """(history_id, anomaly), each once, that the histories show."""
+    """(history_id, anomaly), each once, that the histories show.
+
+    What all checks need, micro-operations, version orders and writers, is written once and read by each. Real-time edges are never listed.
+    """
+    from tessera.sources.files import written
+
+    mops = written(mops)
+    orders, by = written(version_orders(mops)), written(writers(mops))
+    dependent = edges_ww(mops, orders, by).unionByName(edges_wr(mops, orders, by)).unionByName(edges_rw(mops, orders, by))
     direct = [
-        duplicate_elements(mops).select(H, F.lit("duplicate-element").alias("anomaly")),
-        version_orders(mops).where("conflicted").select(H, F.lit("version-order-conflict").alias("anomaly")),
-        aborted_reads(mops, history).select(H, F.lit("G1a").alias("anomaly")),
-        intermediate_reads(mops, history).select(H, F.lit("G1b").alias("anomaly")),
-        cycle_witnesses(edges(mops, history, strict)).select(H, "anomaly"),
+        duplicate_elements(mops, by).select(H, F.lit("duplicate-element").alias("anomaly")),
+        orders.where("conflicted").select(H, F.lit("version-order-conflict").alias("anomaly")),
+        aborted_reads(mops, history, by).select(H, F.lit("G1a").alias("anomaly")),
+        intermediate_reads(mops, history, by).select(H, F.lit("G1b").alias("anomaly")),
+        cycle_witnesses(dependent.unionByName(spans(history)) if strict else dependent).select(H, "anomaly"),
     ]
     out = direct[0]
     for d in direct[1:]:

@@ -102,3 +102,24 @@ def test_reduced_real_time_edges_reach_the_same(spark):
     full, few = isolation.edges_rt(h), isolation.edges_rt(h, reduced=True)
     assert few.count() < full.count()
     assert closure(full) == closure(few)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_times_stand_for_all_real_time_edges(spark, seed):
+    """Components and shortest cycles are those of the graph in which every real-time edge is listed."""
+    rng = random.Random(seed)
+    rows, edges = [], []
+    for h in range(25):
+        n = rng.randint(3, 25)
+        for t in range(n):
+            a = rng.randint(0, 60)
+            rows.append((h, t, 0, a, a + rng.randint(0, 25), "committed" if rng.random() < 0.9 else "aborted"))
+        for _ in range(rng.randint(1, n)):
+            a, b = rng.sample(range(n), 2)
+            edges.append((h, a, b, rng.choice(["ww", "wr", "rw"]), rng.randint(0, 3)))
+    history = spark.createDataFrame(rows, TXNS)
+    known = spark.createDataFrame(edges, "history_id long, src long, dst long, type string, key long").distinct()
+    listed = isolation.cycle_witnesses(known.unionByName(isolation.edges_rt(history)))
+    implied = isolation.cycle_witnesses(known.unionByName(isolation.spans(history)))
+    want = sorted(map(repr, listed.collect()))
+    assert want and sorted(map(repr, implied.collect())) == want
