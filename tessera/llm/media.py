@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, stored, table
+from tessera.llm.common import map_batches, release_memory, row_slices, stored, table
 from tessera.llm.jaccard import components
 
 #: Corner strength against the image's strongest, radius of the patch that is described, and directions told apart.
@@ -23,6 +26,8 @@ MAX_BITS, MIN_AGREE, MIN_SHARE, GRAIN = 24, 4, 0.5, 6
 SEED = 3
 #: Tables of the Hamming join: 32 bits each of the 256; entries before it in its bucket that an entry is compared with.
 TABLES, NEIGHBOURS = 4, 4
+#: Where all images meet: corners of a group of them, groups at least, and corners that meet in one matrix product.
+GROUP, GROUPS, PANEL, TILE = 1 << 17, 8, 512, 1024
 CELL = 8
 
 
@@ -174,6 +179,103 @@ def compared(pairs: DataFrame, corner: DataFrame) -> DataFrame:
     return both.where(_differ("v", "w") <= MAX_BITS).select("i", "j", "p", "q")
 
 
+def _signs(bits: np.ndarray) -> np.ndarray:
+    """Descriptors as rows of 1 and -1: a product of two is 256 less twice the bits in which they differ, without rounding."""
+    return np.unpackbits(bits.view(np.uint8).reshape(len(bits), 32), axis=1).astype(np.float32) * 2 - 1
+
+
+def close(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the images i of one and j > i of two of which as many corners of i match, in one turn and scale, as a link needs.
+
+    Each side is (images in order, offsets of their corners, directions, scales, bits). All corners of one meet all of two, in matrix products.
+    Shifts are not looked at, so no link is missing, and `linked` decides.
+    """
+    (ids, at, _, _, bits), (ids2, at2, _, _, bits2) = one, two
+    size, size2 = np.diff(at), np.diff(at2)
+    for c, d in row_slices(at2, TILE):
+        tile = _signs(bits2[at2[c] : at2[d]])
+        for a, b in row_slices(at, PANEL):
+            if ids[a] >= ids2[d - 1]:
+                break
+            hit = []
+            # a panel is whole images; one of more corners goes part by part
+            for k in range(at[a], at[b], PANEL):
+                part = bits[k : min(k + PANEL, at[b])]
+                # eight verdicts to a long; the corners that fill up the last match nothing
+                signs = np.concatenate([_signs(part), np.zeros((-len(part) % 8, 256), dtype=np.float32)])
+                met = tile @ signs.T >= 256 - 2 * MAX_BITS
+                hit.append(np.bitwise_or.reduceat(met.view(np.int64), at2[c:d] - at2[c], axis=0).view(bool)[:, : len(part)])
+            n = np.add.reduceat(np.concatenate(hit, axis=1), at[a:b] - at[a], axis=1, dtype=np.int64)
+            least = np.maximum(MIN_AGREE, MIN_SHARE * np.minimum(size2[c:d, None], size[a:b]))
+            v, u = np.nonzero((n >= least) & (ids2[c:d, None] > ids[a:b]))
+            if not len(u):
+                continue
+            least, u, v = least[v, u], u + a, v + c
+            good = _turned(one, two, u, v) >= least
+            yield ids[u[good]], ids2[v[good]]
+
+
+def _matches(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(pair, corner p, turn, log2 of the growth) of the matches between the u-th images of one and the v-th of two, some corners p at a time."""
+    (_, at, turns, scales, bits), (_, at2, turns2, scales2, bits2) = one, two
+    size, size2 = at[u + 1] - at[u], at2[v + 1] - at2[v]
+    pairs = np.repeat(np.arange(len(u)), size)
+    points = np.arange(len(pairs)) - np.repeat(size.cumsum() - size, size) + at[u][pairs]
+    for s, t in row_slices(np.concatenate([[0], size2[pairs].cumsum()]), 1 << 18):
+        wide = size2[pairs[s:t]]
+        pair, p = np.repeat(pairs[s:t], wide), np.repeat(points[s:t], wide)
+        q = np.arange(len(pair)) - np.repeat(wide.cumsum() - wide, wide) + at2[v][pair]
+        # unsigned: of a negative number, numpy counts the bits of its absolute value
+        near = np.bitwise_count((bits[p] ^ bits2[q]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= MAX_BITS
+        pair, p, q = pair[near], p[near], q[near]
+        yield pair, p, (turns2[q] - turns[p]) % DIRECTIONS, np.floor(np.log2(scales2[q] / scales[p])).astype(np.int64)
+
+
+def _turned(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each pair of the u-th image of one and the v-th of two, the most corners of the first that match with one turn and scale, told as in `linked`."""
+    votes, points = [np.zeros(0, dtype=np.int64)], len(one[4])
+    for pair, p, turn, grow in _matches(one, two, u, v):
+        for k in range(2):
+            cell = (pair * 64 + grow + 32) * DIRECTIONS + k * (DIRECTIONS // 2) + (turn + k) % DIRECTIONS // 2
+            votes.append(np.unique(cell * points + p))
+    cells, n = np.unique(np.unique(np.concatenate(votes)) // points, return_counts=True)
+    most = np.zeros(len(u), dtype=np.int64)
+    np.maximum.at(most, cells // DIRECTIONS // 64, n)
+    return most
+
+
+def alike(corner: DataFrame) -> DataFrame:
+    """(i, j) of all pairs of images that `close` finds, whatever the tables hold: groups of images, by ranges of their ids, meet two by two."""
+    columns = ("direction", "scale", *"abcd")
+    count = corner.count()
+    parts = max(GROUPS, -(-count // GROUP))
+    bounds = sorted(set(corner.approxQuantile("image", [k / parts for k in range(1, parts)], 0.1 / parts))) if count else []
+    of = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("image").cast("double")))
+    image = corner.groupBy("image").agg(F.collect_list(F.struct(*columns)).alias("l")).select("image", of.alias("of"), *(f"l.{c}" for c in columns))
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(bounds))), lambda k: F.struct(F.least("of", k).alias("g"), F.greatest("of", k).alias("h"))))
+    # many more partitions than pairs of groups, so that few hold two
+    dealt = image.select("*", meet.alias("m")).select("m.*", "*").drop("m").repartition(2 * (len(bounds) + 1) * (len(bounds) + 2), "g", "h")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("image").combine_chunks()
+
+        def side(group: int) -> tuple[np.ndarray, ...]:
+            part = rows.filter(pc.equal(rows["of"], group)).combine_chunks()
+            flat = np.stack([pc.list_flatten(part[c]).to_numpy().astype(np.int64) for c in columns], axis=1)
+            at = np.concatenate([[0], pc.list_value_length(part["a"]).to_numpy().astype(np.int64).cumsum()])
+            return part["image"].to_numpy(), at, flat[:, 0], flat[:, 1], np.ascontiguousarray(flat[:, 2:])
+
+        g, h = (k.as_py() for k in key)
+        one = side(g)
+        two = one if g == h else side(h)
+        found = [(np.zeros(0, dtype=np.int64),) * 2, *close(one, two)]
+        release_memory()
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64())})
+
+    return dealt.groupBy("g", "h").applyInArrow(run, "i long, j long")
+
+
 def supported(links: DataFrame, corner: DataFrame) -> DataFrame:
     """(i, j) of the links (i, j, n) whose n corners are MIN_SHARE of those of the image that has fewer."""
     # written, so that the joins are of plain shuffles and an image of very many links can be split
@@ -189,7 +291,8 @@ def image_copies(images: DataFrame) -> DataFrame:
     TABLES tables by 32 of their bits each; entries with the same bits stand next to each other, by the
     rest of their bits, and each is compared with the NEIGHBOURS entries before it, those of its own image left out: however many
     images share an entry, comparisons grow with entries only. Matches differ in at most MAX_BITS bits. Where SEED different corners of two images
-    agree on one turn, one scale and one shift, to the grain, all their corners are compared with each other, in tables or not. The pair is linked if then MIN_AGREE
+    agree on one turn, one scale and one shift, to the grain, the pair is a candidate. What the tables and their neighbours miss, `alike` brings: there all corners of
+    all images meet, so no link is lost; its work grows with the square of the corners. Of a candidate, all corners are compared with each other. The pair is linked if then MIN_AGREE
     different corners, and MIN_SHARE of the corners of the image that has fewer, agree. class_id is the smallest copy_of
     that links reach. Images without pixels or corners stand alone, images without pixels not even together.
     """
@@ -211,7 +314,9 @@ def image_copies(images: DataFrame) -> DataFrame:
     ends = lambda one, two: F.struct(*(F.col(f"{c}.{x}").alias(k) for c, x, k in ((one, "image", "i"), (two, "image", "j"), (one, "p", "p"), (two, "p", "q"))))
     match = pair.select(F.when(F.col("e.image") < F.col("o.image"), ends("e", "o")).otherwise(ends("o", "e")).alias("m")).select("m.*")
 
-    seeds = stored(linked(match.select("i", "j", _unpacked("p"), _unpacked("q")), SEED))
+    seeds = linked(match.select("i", "j", _unpacked("p"), _unpacked("q")), SEED).select("i", "j")
+    # what the tables miss: all images meet
+    seeds = stored(seeds.union(alike(corner)).distinct())
     links = stored(supported(stored(linked(compared(seeds, corner))), corner))
 
     label = components(links, "i", "j").select(F.col("node").alias("copy_of"), F.col("root"))

@@ -106,3 +106,38 @@ def test_links_against_plain_loops_and_recall_against_all_pairs(spark):
     # cut copies with less contrast and noisy ones are all found; no stranger is linked
     assert all((10 * i, 10 * i + k) in links for i in range(12) for k in (1, 2))
     assert all(i // 10 == j // 10 for i, j in whole) and links <= whole
+
+
+def test_links_that_the_tables_miss_are_found(spark):
+    rng = np.random.default_rng(4)
+    images = {}
+    for i in range(14):
+        m = media.mosaic(rng.normal(0, 0.125, 64))
+        images[10 * i] = m
+        images[10 * i + 1] = np.clip(m + rng.normal(0, 14, m.shape), 0, 255).astype(np.uint8)
+        images[10 * i + 2] = np.clip(m[:, :40] + rng.normal(0, 12, (64, 40)), 0, 255).astype(np.uint8)
+    tables, whole = brute_links(images, neighbours), brute_links(images, all_pairs)
+    assert tables < whole
+    rows = [(k, *m.shape, np.ascontiguousarray(m).tobytes()) for k, m in images.items()]
+    got = {r["image"]: (r["class_id"], r["n_links"]) for r in media.image_copies(spark.createDataFrame(rows, IMAGE).repartition(3)).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {k: sum(k in pair for pair in whole) for k in images}
+    assert all(got[i][0] == got[j][0] for i, j in whole)
+
+
+def test_all_images_meet_in_panels_and_tiles_of_any_size(monkeypatch):
+    rng = np.random.default_rng(6)
+    m = [media.mosaic(rng.normal(0, 0.125, 64)) for _ in range(8)]
+    images = {10 * i + k: np.clip(x + rng.normal(0, 4 * k, x.shape), 0, 255).astype(np.uint8) for i, x in enumerate(m) for k in range(3)}
+    found = [(k, media.describe_stack(x[None])) for k, x in images.items()]
+    size = np.array([len(p[0]) for _, p in found])
+    turns, scales, bits = (np.concatenate([p[c] for _, p in found]) for c in (3, 4, 5))
+    side = (np.array([k for k, _ in found]), np.concatenate([[0], size.cumsum()]), turns, scales, bits)
+    links = brute_links(images, all_pairs)
+    got = []
+    for panel, tile in ((7, 5), (50, 64), (4096, 4096)):
+        monkeypatch.setattr(media, "PANEL", panel)
+        monkeypatch.setattr(media, "TILE", tile)
+        pairs = [(int(i), int(j)) for some in media.close(side, side) for i, j in zip(*some, strict=True)]
+        assert len(pairs) == len(set(pairs)) and links <= set(pairs)
+        got.append(sorted(pairs))
+    assert len(links) >= 16 and got[0] == got[1] == got[2]
