@@ -26,8 +26,9 @@ MAX_BITS, MIN_AGREE, MIN_SHARE, GRAIN = 24, 4, 0.5, 6
 SEED = 3
 #: Tables of the Hamming join: 32 bits each of the 256; entries before it in its bucket that an entry is compared with.
 TABLES, NEIGHBOURS = 4, 4
-#: Where all images meet: corners of a group of them, groups at least, and corners that meet in one matrix product.
-GROUP, GROUPS, PANEL, TILE = 1 << 17, 8, 512, 1024
+#: Where all images meet: corners of a group of them, groups at least, corners that meet in one matrix product, and pairs
+#: whose turns are told at once.
+GROUP, GROUPS, PANEL, TILE, TURNED = 1 << 17, 8, 1536, 1024, 4096
 CELL = 8
 
 
@@ -179,40 +180,75 @@ def compared(pairs: DataFrame, corner: DataFrame) -> DataFrame:
     return both.where(_differ("v", "w") <= MAX_BITS).select("i", "j", "p", "q")
 
 
+def _ones(bits: np.ndarray) -> np.ndarray:
+    """Descriptors as rows of 255 zeros and ones; the last bit is left out, so that a byte holds any number of bits that differ."""
+    return np.unpackbits(bits.view(np.uint8).reshape(len(bits), 32), axis=1)[:, :255]
+
+
 def _signs(bits: np.ndarray) -> np.ndarray:
-    """Descriptors as rows of 1 and -1: a product of two is 256 less twice the bits in which they differ, without rounding."""
-    return np.unpackbits(bits.view(np.uint8).reshape(len(bits), 32), axis=1).astype(np.float32) * 2 - 1
+    """Descriptors as rows of 1 and -1, and 255 less their ones."""
+    ones = _ones(bits)
+    return np.column_stack([ones * np.float32(2) - 1, 255 - ones.sum(axis=1, dtype=np.float32)])
+
+
+def _triples(bits: np.ndarray) -> np.ndarray:
+    """Descriptors as columns of zeros and ones and a last one, three to a column by weights of 1, 2^8 and 2^16.
+
+    A row of `_signs` times a column has 255 less the bits in which they differ in three bytes: no sum of some of its terms
+    leaves 2^24, so float32 doesn't round. The number of columns is even; what fills up the last ones is zero.
+    """
+    ones = np.zeros((-(-len(bits) // 6) * 2, 3, 256), dtype=np.float32)
+    ones.reshape(-1, 256)[: len(bits), :255] = _ones(bits)
+    ones.reshape(-1, 256)[: len(bits), 255] = 1
+    return np.ascontiguousarray((ones[:, 0] + ones[:, 1] * 256 + ones[:, 2] * 65536).T)
+
+
+def _near(signs: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    """Whether descriptors differ in MAX_BITS of 255 bits at most, a row for each of signs, four bytes for three of triples, the last false."""
+    return (signs @ triples).astype("<i4").view(np.uint8) >= 255 - MAX_BITS
 
 
 def close(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of the images i of one and j > i of two of which as many corners of i match, in one turn and scale, as a link needs.
 
-    Each side is (images in order, offsets of their corners, directions, scales, bits). All corners of one meet all of two, in matrix products.
-    Shifts are not looked at, so no link is missing, and `linked` decides.
+    Each side is (images in order, offsets of their corners, directions, scales, bits). All corners of one meet all of two, in matrix products,
+    by all bits but the last; `_turned` looks at that too. Shifts are not looked at, so no link is missing, and `linked` decides.
     """
     (ids, at, _, _, bits), (ids2, at2, _, _, bits2) = one, two
     size, size2 = np.diff(at), np.diff(at2)
+    # a panel is whole images; one of more corners goes part by part
+    panels = [(a, b, [_triples(bits[k : min(k + PANEL, at[b])]) for k in range(at[a], at[b], PANEL)]) for a, b in row_slices(at, PANEL)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def good() -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        ok = _turned(one, two, u, v) >= np.maximum(MIN_AGREE, MIN_SHARE * np.minimum(size2[v], size[u]))
+        return ids[u[ok]], ids2[v[ok]]
+
     for c, d in row_slices(at2, TILE):
-        tile = _signs(bits2[at2[c] : at2[d]])
-        for a, b in row_slices(at, PANEL):
+        tile, rows = _signs(bits2[at2[c] : at2[d]]), at2[c : d + 1] - at2[c]
+        for a, b, parts in panels:
             if ids[a] >= ids2[d - 1]:
                 break
             hit = []
-            # a panel is whole images; one of more corners goes part by part
-            for k in range(at[a], at[b], PANEL):
-                part = bits[k : min(k + PANEL, at[b])]
-                # eight verdicts to a long; the corners that fill up the last match nothing
-                signs = np.concatenate([_signs(part), np.zeros((-len(part) % 8, 256), dtype=np.float32)])
-                met = tile @ signs.T >= 256 - 2 * MAX_BITS
-                hit.append(np.bitwise_or.reduceat(met.view(np.int64), at2[c:d] - at2[c], axis=0).view(bool)[:, : len(part)])
-            n = np.add.reduceat(np.concatenate(hit, axis=1), at[a:b] - at[a], axis=1, dtype=np.int64)
+            for part in parts:
+                # eight verdicts to a long
+                met = _near(tile, part).view(np.int64)
+                any_of = np.empty((d - c, met.shape[1]), dtype=np.int64)
+                for k in range(d - c):
+                    np.bitwise_or.reduce(met[rows[k] : rows[k + 1]], axis=0, out=any_of[k])
+                hit.append(any_of.view(bool))
+            first = at[a:b] - at[a]
+            n = np.add.reduceat(np.concatenate(hit, axis=1) if len(hit) > 1 else hit[0], first // 3 * 4 + first % 3, axis=1, dtype=np.int64)
             least = np.maximum(MIN_AGREE, MIN_SHARE * np.minimum(size2[c:d, None], size[a:b]))
             v, u = np.nonzero((n >= least) & (ids2[c:d, None] > ids[a:b]))
-            if not len(u):
-                continue
-            least, u, v = least[v, u], u + a, v + c
-            good = _turned(one, two, u, v) >= least
-            yield ids[u[good]], ids2[v[good]]
+            if len(u):
+                found.append((u + a, v + c))
+                if sum(len(x) for x, _ in found) >= TURNED:
+                    yield good()
+    if found:
+        yield good()
 
 
 def _matches(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:

@@ -141,3 +141,48 @@ def test_all_images_meet_in_panels_and_tiles_of_any_size(monkeypatch):
         assert len(pairs) == len(set(pairs)) and links <= set(pairs)
         got.append(sorted(pairs))
     assert len(links) >= 16 and got[0] == got[1] == got[2]
+
+
+def test_three_descriptors_meet_in_one_product_without_rounding():
+    rng = np.random.default_rng(9)
+    some = rng.integers(0, 256, (40, 32), dtype=np.uint8)
+    some[:3] = [[0] * 32, [255] * 32, [170] * 32]
+    some[3:6] = ~some[:3]
+    # copies that differ in as many of the first 255 bits as a match may, in one more, and in the last bit too
+    for k, n in ((10, media.MAX_BITS), (11, media.MAX_BITS + 1), (12, media.MAX_BITS)):
+        flipped = np.unpackbits(some[20])
+        flipped[rng.choice(255, n, replace=False)] ^= 1
+        flipped[255] ^= k == 12
+        some[k] = np.packbits(flipped)
+    bits = some.view(np.int64)
+    ones = np.unpackbits(some, axis=1)[:, :255].astype(int)
+    differ = (ones[:, None] != ones).sum(axis=2)
+    for n in (1, 2, 3, 5, 6, 40):
+        triples = media._triples(bits[:n])
+        assert triples.shape == (256, -(-n // 6) * 2)
+        packed = (media._signs(bits) @ triples).astype(np.int64)
+        assert all((255 - (packed[:, k // 3] >> (8 * (k % 3)) & 255) == differ[:, k]).all() for k in range(n))
+        near = media._near(media._signs(bits), triples)
+        columns = [k // 3 * 4 + k % 3 for k in range(n)]
+        assert (near[:, columns] == (differ[:, :n] <= media.MAX_BITS)).all()
+        assert not np.delete(near, columns, axis=1).any()
+
+
+def test_pairs_of_images_are_found_however_many_are_told_at_once(monkeypatch):
+    rng = np.random.default_rng(10)
+    sizes = np.array([4, 9, 30, 1, 5, 4, 4, 12])
+    at = np.concatenate([[0], sizes.cumsum()])
+    bits = np.repeat(rng.integers(0, 256, (1, 32), dtype=np.uint8), at[-1], axis=0)
+    bits[at[2] : at[3] : 2] ^= 255
+    # one bit more than a match may have, the last: only all 256 tell
+    bits[at[5] : at[6], : media.MAX_BITS // 8] ^= 255
+    bits[at[5] : at[6], 31] ^= 1
+    side = (np.arange(len(sizes)), at, np.zeros(at[-1], dtype=np.int64), np.ones(at[-1], dtype=np.int64), bits.view(np.int64))
+    same = lambda p, q: np.bitwise_count(bits[p] ^ bits[q]).sum() <= media.MAX_BITS
+    spans = [range(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+    want = {(i, j) for j, js in enumerate(spans) for i, ps in enumerate(spans[:j]) if sum(any(same(p, q) for q in js) for p in ps) >= max(media.MIN_AGREE, media.MIN_SHARE * min(len(ps), len(js)))}
+    for panel, told in ((1536, 4096), (7, 1), (3, 5)):
+        monkeypatch.setattr(media, "PANEL", panel)
+        monkeypatch.setattr(media, "TURNED", told)
+        got = [(int(i), int(j)) for some in media.close(side, side) for i, j in zip(*some, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want and 10 < len(want) < 28
