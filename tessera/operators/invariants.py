@@ -140,10 +140,10 @@ def snapshots_stay_behind(s: State) -> DataFrame:
 @invariant("RAFT-12")
 def configs_follow_commits(s: State) -> DataFrame:
     """A node's configuration differs from that of the last configuration entry it committed."""
-    c = s["raft_state"].select("tick", "node", "commit", F.array_sort("voters").alias("voters"))
-    e = s["config_entries"].select(F.col("idx"), F.array_sort("voters").alias("implied"))
-    j = c.join(F.broadcast(e), F.col("idx") <= F.col("commit")).groupBy("tick", "node", "voters").agg(F.max_by("implied", "idx").alias("implied"))
-    return text(j.where("voters <> implied"), "tick", "node")
+    c = s["raft_state"].select("tick", "node", F.col("commit").alias("at"), F.array_sort("voters").alias("voters"))
+    e = s["config_entries"].select("idx", F.array_sort("voters").alias("implied"))
+    due = logs.last_at(c.select("at"), e).join(e, "idx").select("at", "implied")
+    return text(c.join(due, "at").where("voters <> implied"), "tick", "node")
 
 
 @invariant("RAFT-13")

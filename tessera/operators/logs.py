@@ -58,6 +58,21 @@ def regressions(samples: DataFrame, by: list[str], order: str, value: str) -> Da
     return samples.withColumn("before", top).where(F.col(value) < F.col("before"))
 
 
+def last_at(points: DataFrame, entries: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(at, idx): for each of the distinct points (at), the greatest entry's idx at or before it; points before all entries are left out.
+
+    One running maximum inside each stretch of `width` positions, and one over the stretches' last entries, a row a stretch.
+    """
+    p = points.select(F.col("at").cast("long").alias("at")).where("at is not null").distinct().select("at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("idx"))
+    e = entries.select(F.col("idx").cast("long").alias("idx")).where("idx is not null").distinct().select(F.col("idx").alias("at"), F.lit(0).alias("kind"), "idx")
+    both = p.unionByName(e).withColumn("stretch", F.expr(f"at div {width}"))
+    inside = F.max("idx").over(Window.partitionBy("stretch").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.max("last").over(Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    carried = both.groupBy("stretch").agg(F.max("idx").alias("last")).select("stretch", before.alias("carried"))
+    found = both.withColumn("inside", inside).where("kind = 1").join(carried, "stretch")
+    return found.select("at", F.coalesce("inside", "carried").alias("idx")).where("idx is not null")
+
+
 def log_slice(entries: DataFrame, start: int, max_count: int, max_bytes: int) -> DataFrame:
     """Each node's entries from `start` on until a count or until one more would pass the bytes; the first always fits."""
     order = Window.partitionBy("node").orderBy("idx")
