@@ -81,12 +81,33 @@ def logs_match(s: State) -> DataFrame:
     return text(logs.log_mismatches(s["raft_entries"]), "a", "b", "idx")
 
 
+def due_commits(lead: DataFrame, due: DataFrame, fan: int = 32, depth: int = 4) -> DataFrame:
+    """Pairs of an election (l_term, tick, snapshot_index) and a commit of an earlier term and tick beyond its snapshot.
+
+    Commits lie in a tree by tick whose nodes know their least term and tick and their greatest index; an election goes
+    down only where all three allow a pair, level by level in equi-joins, instead of meeting every commit.
+    """
+    may = "least_term < l_term and least_tick < tick and most_idx > snapshot_index"
+    ends = F.broadcast(due.agg(F.min("c_tick").alias("lo"), F.max("c_tick").alias("hi")))
+    leaf = F.floor((F.col("c_tick") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)) * fan**depth).alias("part")
+    placed = due.join(ends).select(*due.columns, leaf)
+    levels = [placed.groupBy("part").agg(F.min("commit_term").alias("least_term"), F.min("c_tick").alias("least_tick"), F.max("idx").alias("most_idx"))]
+    for _ in range(depth):
+        up = F.expr(f"part div {fan}").alias("part")
+        levels.append(levels[-1].groupBy(up).agg(F.min("least_term").alias("least_term"), F.min("least_tick").alias("least_tick"), F.max("most_idx").alias("most_idx")))
+    found = lead.join(F.broadcast(levels.pop()), F.expr(may)).select(*lead.columns, "part")
+    while levels:
+        below = levels.pop().withColumns({"down": F.col("part"), "part": F.expr(f"part div {fan}")})
+        found = found.join(below, "part").where(may).select(*lead.columns, F.col("down").alias("part"))
+    return found.join(placed, "part").where("commit_term < l_term and c_tick < tick and idx > snapshot_index").drop("part")
+
+
 @invariant("RAFT-04", "epoch")
 def leaders_are_complete(s: State) -> DataFrame:
     """Entries committed in an earlier term that a new leader lacks or holds differently; those below its snapshot are exempt."""
     lead = s["elections"].select("tick", F.col("node").alias("leader"), F.col("term").alias("l_term"), "snapshot_index")
     due = s["commits"].select("idx", "term", "data", F.col("tick").alias("c_tick"), F.col("commit_term"))
-    want = due.join(F.broadcast(lead), F.expr("commit_term < l_term and c_tick < tick and idx > snapshot_index"))
+    want = due_commits(lead, due)
     have = s["raft_entries"].select(F.col("node").alias("leader"), "idx", F.col("term"), "data")
     return text(want.join(have, ["leader", "idx", "term", "data"], "left_anti"), "leader", "l_term", "idx")
 

@@ -1,6 +1,7 @@
 """Steps whose work may grow no faster than their input: the same rows as plain loops, and none of the plans that grew faster."""
 
 import random
+import re
 
 from tessera.operators import invariants, logs
 
@@ -32,6 +33,22 @@ def test_configs_meet_only_their_last_entry(spark):
     assert "idx#" not in "".join(x for x in plan(got).splitlines() if "Join" in x and "<=" in x)
 
 
+def test_elections_meet_only_their_commits(spark):
+    rng = random.Random(4)
+    commits = [(i // 3 + rng.randint(-2, 2), 1 + i // 60, f"d{rng.randint(0, 1)}", rng.choice([i, i + rng.randint(-200, 200), None]), 1 + i // 60) for i in range(900)]
+    elections = [(rng.randint(0, 1000), n % 3, rng.randint(1, 18), rng.randint(-5, 320)) for n in range(60)]
+    entries = sorted({(n, i, t, d) for i, t, d, _, _ in commits for n in range(3) if rng.random() < 0.7})
+    want = [f"{n} {lt} {i}" for tick, n, lt, snap in elections for i, t, d, ct, cterm in commits if ct is not None and cterm < lt and ct < tick and i > snap and (n, i, t, d) not in set(entries)]
+    s = {
+        "elections": spark.createDataFrame(elections, "tick long, node long, term long, snapshot_index long"),
+        "commits": spark.createDataFrame(commits, "idx long, term long, data string, tick long, commit_term long"),
+        "raft_entries": spark.createDataFrame(entries, "node long, idx long, term long, data string"),
+    }
+    got = invariants.leaders_are_complete(s)
+    assert want and details(got) == sorted(want)
+    assert not [x for x in plan(got).splitlines() if "Join Inner" in x and re.search(r"c_tick#\d+L < tick#", x) and " = " not in x]
+
+
 def test_last_entry_at_each_point(spark):
     points, entries = spark.range(0, 400).selectExpr("id as at"), spark.createDataFrame([(i,) for i in (7, 8, 100, 250)], "idx long")
     want = [(p, max(i for i in (7, 8, 100, 250) if i <= p)) for p in range(7, 400)]
