@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import Decided, attempts, fold_rows, nothing
+
 
 def first_attempts(ops: DataFrame) -> DataFrame:
     """Each operation's first entry in the log; retries of an op_id return its outcome and change nothing."""
@@ -28,29 +32,43 @@ def transfer_ledger(accounts: DataFrame, transfers: DataFrame) -> DataFrame:
 
     Transfers carry a `part`, the replicated range that both accounts lie in (wrong_range where target's part
     differs, as `target_part`). A retry returns the recorded outcome; a balance below the amount refuses; a transfer to the wrong
-    range is not recorded, as another range may decide it.
+    range is not recorded, as another range may decide it. A part's fold holds its accounts' balances and the outcomes of
+    operations that will be tried again.
     """
-    both = transfers.withColumn("kind", F.lit("op"))
-
-    def fold(key: tuple, ops: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        balance = dict(zip(held.account, held.balance, strict=True))
-        decided: dict[int, str] = {}
-        out = []
-        for t in ops.sort_values("log_index").itertuples():
-            if t.op_id in decided:
-                outcome = decided[t.op_id]
-            elif t.target_part != t.part or t.source not in balance or t.target not in balance:
-                outcome = "wrong_range"
-            elif balance[t.source] < t.amount:
-                outcome = decided[t.op_id] = "insufficient_funds"
-            else:
-                balance[t.source] -= t.amount
-                balance[t.target] += t.amount
-                outcome = decided[t.op_id] = "ok"
-            out.append((t.part, t.log_index, t.op_id, outcome))
-        return pd.DataFrame(out, columns=["part", "log_index", "op_id", "outcome"])
-
-    return both.groupBy("part").cogroup(accounts.groupBy("part")).applyInPandas(fold, "part long, log_index long, op_id long, outcome string")
+    counted = attempts(transfers, "part", "op_id")
+    moves = counted.select("part", F.lit(1).alias("kind"), "log_index", "op_id", "source", "target", "target_part", "amount", "attempts")
+    null = F.lit(None).cast("long")
+    held = accounts.where("account is not null").select("part", F.lit(0).alias("kind"), null.alias("log_index"), null.alias("op_id"), F.col("account").alias("source"), null.alias("target"), null.alias("target_part"), F.coalesce("balance", F.lit(0)).alias("amount"), null.alias("attempts"))
+
+    def make(part):
+        names, balance, decided = array("q"), array("q"), Decided()
+
+        def place(account) -> int:
+            """Accounts come first, in ascending order."""
+            i = bisect_left(names, account) if account is not None else len(names)
+            return i if i < len(names) and names[i] == account else -1
+
+        def step(part, kind, log_index, op_id, source, target, target_part, amount, tries):
+            if kind == 0:
+                names.append(source)
+                balance.append(amount)
+                return None
+            outcome = decided.known(op_id, tries)
+            if outcome is None:
+                a, b = (place(source), place(target)) if target_part == part else (-1, -1)
+                if a < 0 or b < 0:
+                    outcome = "wrong_range"
+                elif balance[a] < amount:
+                    outcome = decided.decide(op_id, "insufficient_funds")
+                else:
+                    balance[a] -= amount
+                    balance[b] += amount
+                    outcome = decided.decide(op_id, "ok")
+            return part, log_index, op_id, outcome
+
+        return step, nothing
+
+    return fold_rows(held.unionByName(moves), "part", ["kind", "log_index", "op_id", "source"], make, "part long, log_index long, op_id long, outcome string")
 
 
 def lost_operations(acknowledged: DataFrame, remembered: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 import re
 
-from tessera.operators import invariants, logs
+from tessera.operators import audits, invariants, logs
 
 
 def plan(df):
@@ -53,3 +53,28 @@ def test_last_entry_at_each_point(spark):
     points, entries = spark.range(0, 400).selectExpr("id as at"), spark.createDataFrame([(i,) for i in (7, 8, 100, 250)], "idx long")
     want = [(p, max(i for i in (7, 8, 100, 250) if i <= p)) for p in range(7, 400)]
     assert sorted(map(tuple, logs.last_at(points, entries, 16).collect())) == want
+
+
+def test_ledger_holds_no_whole_part(spark):
+    rng = random.Random(5)
+    accounts = [(a, 20, a // 10 % 3) for a in range(60)]
+    moves, ops = [], [i // 2 if i % 4 == 1 else i for i in range(400)]
+    for i, op in enumerate(ops):
+        a = rng.randint(0, 62)
+        moves.append((i, op, a, a - a % 10 + rng.randint(0, 9), a // 10 % 3, rng.choice([a // 10 % 3] * 9 + [7]), rng.randint(0, 20)))
+    balance, decided, want = {a: b for a, b, _ in accounts}, {}, []
+    for i, op, a, b, part, to, n in moves:
+        out = decided.get((part, op))
+        if out is None:
+            if part != to or a not in balance or b not in balance:
+                out = "wrong_range"
+            elif balance[a] < n:
+                out = decided[part, op] = "insufficient_funds"
+            else:
+                balance[a] -= n
+                balance[b] += n
+                out = decided[part, op] = "ok"
+        want.append((part, i, op, out))
+    got = audits.transfer_ledger(spark.createDataFrame(accounts, "account long, balance long, part long"), spark.createDataFrame(moves, "log_index long, op_id long, source long, target long, part long, target_part long, amount long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[3] for w in want}) == 3
+    assert "InPandas" not in plan(got)
