@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_rows, nothing
+
 
 def half_commit(progress: DataFrame, voters: Column) -> Column:
     """The index that a majority of the voters has, from (peer, match) rows under a groupBy; a peer that is missing has 0."""
@@ -90,25 +93,27 @@ def apply_appends(batches: DataFrame) -> DataFrame:
     """(node, batch, accepted, last_idx) of append batches folded into each node's log in order.
 
     A batch is (node, batch, prev_idx, prev_term, terms): it needs the entry before it to match; a conflicting suffix is
-    cut, entries already there stay. Each batch depends on the log that the ones before made, so a node is one fold.
+    cut, entries already there stay. Each batch depends on the log that the ones before made, so a node is one fold, which
+    holds that log only.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        log: list[int] = []
-        rows = []
-        for b in pdf.sort_values("batch").itertuples():
-            ok = b.prev_idx <= len(log) and (b.prev_idx == 0 or log[b.prev_idx - 1] == b.prev_term)
+    def make(_):
+        log = array("q")
+
+        def step(node, batch, prev_idx, prev_term, terms):
+            ok = prev_idx <= len(log) and (prev_idx == 0 or log[prev_idx - 1] == prev_term)
             if ok:
-                for i, t in enumerate(b.terms):
-                    at = b.prev_idx + i
+                for at, t in enumerate(terms, prev_idx):
                     if at < len(log) and log[at] != t:
                         del log[at:]
                     if at >= len(log):
-                        log.append(int(t))
-            rows.append((b.node, b.batch, ok, len(log)))
-        return pd.DataFrame(rows, columns=["node", "batch", "accepted", "last_idx"])
+                        log.append(t)
+            return node, batch, ok, len(log)
+
+        return step, nothing
 
-    return batches.groupBy("node").applyInPandas(fold, "node long, batch long, accepted boolean, last_idx long")
+    rows = batches.select("node", "batch", "prev_idx", "prev_term", "terms")
+    return fold_rows(rows, "node", ["batch"], make, "node long, batch long, accepted boolean, last_idx long")
 
 
 def causal_depth(trace: DataFrame, rounds: int = 40) -> DataFrame:

@@ -78,3 +78,20 @@ def test_ledger_holds_no_whole_part(spark):
     got = audits.transfer_ledger(spark.createDataFrame(accounts, "account long, balance long, part long"), spark.createDataFrame(moves, "log_index long, op_id long, source long, target long, part long, target_part long, amount long"))
     assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[3] for w in want}) == 3
     assert "InPandas" not in plan(got)
+
+
+def test_appends_hold_no_whole_node(spark):
+    rng = random.Random(6)
+    batches = [(n, b, rng.randint(0, 6), rng.randint(1, 2), [rng.randint(1, 2) for _ in range(rng.randint(0, 4))]) for b in range(300) for n in range(2)]
+    all_logs, want = {0: [], 1: []}, []
+    for n, b, prev, term, terms in batches:
+        log = all_logs[n]
+        ok = prev <= len(log) and (prev == 0 or log[prev - 1] == term)
+        if ok:
+            same = next((i for i, t in enumerate(terms) if prev + i >= len(log) or log[prev + i] != t), None)
+            if same is not None:
+                log[prev + same :] = terms[same:]
+        want.append((n, b, ok, len(log)))
+    got = logs.apply_appends(spark.createDataFrame(batches, "node long, batch long, prev_idx long, prev_term long, terms array<long>"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[2] for w in want} == {True, False}
+    assert "InPandas" not in plan(got)
