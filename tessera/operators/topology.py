@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import contains
+from tessera.operators.folds import Decided, attempts, fold_rows, nothing
 
 TARGET_REPLICAS, SPLIT_KEYS, MERGE_KEYS, MAX_COMMANDS = 3, 24, 6, 2
 
@@ -305,18 +306,24 @@ def replay_range(commands: DataFrame, clock_bound: int = 2) -> DataFrame:
     neighbour that begins where the span ends; freeze stops transfers; set_descriptor takes a generation that
     is not lower; a lease by a new holder must begin twice the clock bound after the old one's expiry. transfer: a retry
     of an op_id returns what was decided, else uninitialised, frozen, wrong_range (a key outside or another generation),
-    insufficient_funds or applied; only the last two are remembered.
+    insufficient_funds or applied; only the last two are remembered, and those no longer than until the op_id's last attempt.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    names = ["range_id", "log_index", "op", "at", "end", "generation", "node", "time", "expiry", "op_id", "source", "target", "amount"]
+    counts = ("generation", "node", "time", "expiry", "amount")
+    moves = F.col("op") == "transfer"
+    counted = attempts(commands.select(names), "range_id", F.when(moves, F.col("op_id")), F.when(moves, None).otherwise(F.col("log_index")))
+
+    def make(_):
         s = {"ready": False, "start": None, "end": None, "generation": 1, "frozen": False, "lease": (0, 0, 0), "opening": 0}
         balance: dict[int, int] = {}
-        decided: dict[int, str] = {}
+        decided = Decided()
         inside = lambda k: (s["start"] is None or k >= s["start"]) and (s["end"] is None or k < s["end"])
 
         def transfer(c) -> str:
-            if c["op_id"] in decided:
-                return decided[c["op_id"]]
+            known = decided.known(c["op_id"], c["attempts"])
+            if known is not None:
+                return known
             if not s["ready"]:
                 return "uninitialised"
             if s["frozen"]:
@@ -325,12 +332,10 @@ def replay_range(commands: DataFrame, clock_bound: int = 2) -> DataFrame:
                 return "wrong_range"
             have = balance.get(c["source"], s["opening"])
             if have < c["amount"]:
-                decided[c["op_id"]] = "insufficient_funds"
-            else:
-                balance[c["source"]] = have - c["amount"]
-                balance[c["target"]] = balance.get(c["target"], s["opening"]) + c["amount"]
-                decided[c["op_id"]] = "applied"
-            return decided[c["op_id"]]
+                return decided.decide(c["op_id"], "insufficient_funds")
+            balance[c["source"]] = have - c["amount"]
+            balance[c["target"]] = balance.get(c["target"], s["opening"]) + c["amount"]
+            return decided.decide(c["op_id"], "applied")
 
         def change(c) -> bool:
             op, at = c["op"], c["at"]
@@ -352,12 +357,12 @@ def replay_range(commands: DataFrame, clock_bound: int = 2) -> DataFrame:
                 return False
             return True
 
-        out = []
-        for c in pdf.sort_values("log_index").to_dict("records"):
-            c = {k: (v if k == "op" else None if pd.isna(v) else int(v)) for k, v in c.items()}
-            for k in ("generation", "node", "time", "expiry", "amount"):
+        def step(*values):
+            c = dict(zip((*names, "attempts"), values, strict=True))
+            for k in counts:
                 c[k] = c[k] or 0
-            out.append((c["range_id"], c["log_index"], c["op"], transfer(c) if c["op"] == "transfer" else "applied" if change(c) else "ignored"))
-        return pd.DataFrame(out, columns=["range_id", "log_index", "op", "outcome"])
+            return c["range_id"], c["log_index"], c["op"], transfer(c) if c["op"] == "transfer" else "applied" if change(c) else "ignored"
+
+        return step, nothing
 
-    return commands.groupBy("range_id").applyInPandas(fold, "range_id long, log_index long, op string, outcome string")
+    return fold_rows(counted, "range_id", ["log_index", "op_id"], make, "range_id long, log_index long, op string, outcome string")
