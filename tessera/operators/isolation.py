@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_rows
+
 #: Dependency types in the order in which parallel edges are tried, levels, and what each forbids.
 EDGE_ORDER = {"ww": 0, "wr": 1, "rw": 2, "rt": 3}
 LEVELS = ("read-uncommitted", "read-committed", "snapshot-isolation", "serializable", "strict-serializable")
@@ -23,6 +25,8 @@ FORBIDS = {
 H = "history_id"
 #: The type of rows that give a transaction's time instead of an edge.
 SPAN = "span"
+#: So many real-time edges of a component are kept at once.
+KEPT = 1 << 18
 
 
 def serial_model(mops: DataFrame) -> DataFrame:
@@ -227,11 +231,13 @@ def classify(kinds: list[str]) -> str:
     return "G1c" if n["wr"] else "G0"
 
 
-def _graph(pdf: pd.DataFrame) -> dict[int, list]:
+def _graph(rows: list[tuple]) -> dict[int, list]:
+    """Edges (to, order of type, key, type) of each transaction, from rows (src, dst, type, key)."""
     adjacent: dict[int, list] = {}
-    pdf = pdf[pdf.type != SPAN]
-    for s, d, t, k in sorted(zip(pdf.src, pdf.dst, pdf.type, pdf.key, strict=True), key=lambda e: (e[0], e[1], EDGE_ORDER[e[2]], e[3])):
-        adjacent.setdefault(int(s), []).append((int(d), EDGE_ORDER[t], int(k), t))
+    for s, d, t, k in rows:
+        adjacent.setdefault(s, []).append((d, EDGE_ORDER[t], k, t))
+    for out in adjacent.values():
+        out.sort()
     return adjacent
 
 
@@ -244,6 +250,12 @@ class Timed:
 
     def __init__(self, adjacent: dict[int, list], times: dict[int, tuple[int, int]]):
         self.adjacent, self.times, self.part = adjacent, times, []
+        self.made: dict[int, list] = {}
+        self.room = 0
+
+    def inside(self, part: list[int]) -> None:
+        """The component that `get` answers for. Edges made once are kept, as searches ask for them from every root, up to KEPT of them."""
+        self.part, self.made, self.room = part, {}, KEPT
 
     def direct(self) -> dict[int, list]:
         out = {n: list(e) for n, e in self.adjacent.items()}
@@ -260,37 +272,57 @@ class Timed:
         return out
 
     def get(self, n: int, default=()) -> list:
+        if n in self.made:
+            return self.made[n]
         end = self.times[n][1] if n in self.times else None
         later = [(m, EDGE_ORDER["rt"], -1, "rt") for m in self.part if end is not None and m != n and m in self.times and end < self.times[m][0]]
-        return sorted([*self.adjacent.get(n, default), *later], key=lambda e: e[:3])
+        out = sorted([*self.adjacent.get(n, default), *later], key=lambda e: e[:3])
+        if len(out) <= self.room:
+            self.made[n] = out
+            self.room -= len(out)
+        return out
+
+
+def _by_history(edge_rows: DataFrame, answer: Callable[[int, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """The answer of each history's edges (src, dst, type, key): many histories a task and an Arrow batch."""
+
+    def make(history):
+        found: list[tuple] = []
+
+        def step(_, *edge):
+            found.append(edge)
+
+        return step, lambda: answer(history, found)
+
+    return fold_rows(edge_rows.select(H, "src", "dst", "type", "key"), H, [], make, schema)
 
 
 def components(edge_rows: DataFrame) -> DataFrame:
     """(history_id, component, txn_id) of strongly connected components of over one transaction."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = strong_components(_graph(pdf))
-        return pd.DataFrame([(int(pdf[H].iloc[0]), p[0], t) for p in parts for t in p], columns=[H, "component", "txn_id"])
+    def answer(history: int, found: list[tuple]) -> list[tuple]:
+        parts = strong_components(_graph([e for e in found if e[2] != SPAN]))
+        return [(history, p[0], t) for p in parts for t in p]
 
-    return edge_rows.groupBy(H).applyInPandas(run, f"{H} long, component long, txn_id long")
+    return _by_history(edge_rows, answer, f"{H} long, component long, txn_id long")
 
 
 def cycle_witnesses(edge_rows: DataFrame) -> DataFrame:
     """(history_id, component, anomaly, txns, types): one shortest cycle of each component. Rows of `spans` count as all real-time edges."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacent = _graph(pdf)
-        timed = pdf[pdf.type == SPAN]
-        graph = Timed(adjacent, {int(n): (int(a), int(b)) for n, a, b in zip(timed.src, timed.dst, timed.key, strict=True)}) if len(timed) else None
+    def answer(history: int, found: list[tuple]) -> list[tuple]:
+        adjacent = _graph([e for e in found if e[2] != SPAN])
+        times = {n: (start, end) for n, start, t, end in found if t == SPAN}
+        graph = Timed(adjacent, times) if times else None
         rows = []
         for p in strong_components(adjacent if graph is None else graph.direct()):
             if graph is not None:
-                graph.part = p
+                graph.inside(p)
             txns, kinds = shortest_cycle(p, adjacent if graph is None else graph)
-            rows.append((int(pdf[H].iloc[0]), p[0], classify(kinds), txns, kinds))
-        return pd.DataFrame(rows, columns=[H, "component", "anomaly", "txns", "types"])
+            rows.append((history, p[0], classify(kinds), txns, kinds))
+        return rows
 
-    return edge_rows.groupBy(H).applyInPandas(run, f"{H} long, component long, anomaly string, txns array<bigint>, types array<string>")
+    return _by_history(edge_rows, answer, f"{H} long, component long, anomaly string, txns array<bigint>, types array<string>")
 
 
 def forbidden(spark: SparkSession) -> DataFrame:

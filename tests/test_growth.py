@@ -3,7 +3,7 @@
 import random
 import re
 
-from tessera.operators import audits, invariants, logs, topology
+from tessera.operators import audits, invariants, isolation, logs, topology
 
 
 def plan(df):
@@ -106,3 +106,25 @@ def test_ranges_hold_no_whole_log(spark):
     got = topology.replay_range(spark.createDataFrame([r for _, r in rows], schema))
     assert [r["outcome"] for r in got.orderBy("log_index").collect()] == [w for w, _ in rows]
     assert "InPandas" not in plan(got)
+
+
+def test_histories_share_batches_and_keep_their_tasks(spark):
+    """Many small histories: the search is no frame a history, and adaptive execution doesn't put all into one task."""
+    edges = [(h, a, b, "ww", 0) for h in range(200) for a, b in ((h, h + 1), (h + 1, h)) if h % 3 or a < b]
+    df = spark.createDataFrame(edges, "history_id long, src long, dst long, type string, key long")
+    want = sorted((h, h, "G0", [h, h + 1], ["ww", "ww"]) for h in range(200) if h % 3)
+    for found in (isolation.cycle_witnesses(df), isolation.components(df)):
+        assert "InPandas" not in plan(found)
+        assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, isolation.cycle_witnesses(df).collect())) == want
+
+
+def test_real_time_edges_are_made_once_a_component(monkeypatch):
+    graph = isolation.Timed({1: [(2, 0, 0, "ww")]}, {n: (2 * n, 2 * n + 1) for n in range(6)})
+    graph.inside([1, 2, 4])
+    assert graph.get(1) == [(2, 0, 0, "ww"), (2, 3, -1, "rt"), (4, 3, -1, "rt")] and graph.get(1) is graph.get(1)
+    graph.inside([1, 5])
+    assert graph.get(1) == [(2, 0, 0, "ww"), (5, 3, -1, "rt")]
+    monkeypatch.setattr(isolation, "KEPT", 1)
+    graph.inside([1, 2, 4])
+    assert graph.get(1) == graph.get(1) and graph.get(1) is not graph.get(1)
